@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, tokencount, warczip
+from . import hmm, langid, mixing, packing, quality, tokencount, warczip
 from .tables import fold, read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +25,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text"), model)
 
 
+def op2_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    v, model, counts = hmm.train(docs.where(fold(F.col("doc_id"), 5) != 1))
+    return hmm.score(docs, v, model, counts, fold(F.col("doc_id"), 5) == 1)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.train(docs, fold(F.col("doc_id"), 4) != 2)
