@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, langid, mixing, packing, quality, tokencount, warczip
+from . import fingerprint, hmm, langid, mixing, neardup, packing, quality, tokencount, warczip
 from .tables import fold, read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -53,6 +53,15 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "rate")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.classes(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", F.expr("t = kept_t and doc_id <=> class_id").alias("kept"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_to_next(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
