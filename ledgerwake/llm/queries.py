@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, hmm, langid, mixing, neardup, packing, quality, tokencount, warczip
+from . import fingerprint, hmm, langid, mixing, neardup, nndescent, packing, quality, tokencount, warczip
 from .tables import fold, read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -45,6 +45,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.link(read(spark, sf_dir, "embeddings"))
+
+
 def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warczip.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
