@@ -1,0 +1,74 @@
+"""Column expressions with the semantics that the features need."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+EPS = 1e-9
+
+
+def col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def zero(c: Column | str) -> Column:
+    """Null becomes 0; NaN stays."""
+    return F.coalesce(col(c), F.lit(0))
+
+
+def zsum(c: Column | str) -> Column:
+    """A sum that is 0 over nothing."""
+    return F.coalesce(F.sum(col(c)), F.lit(0.0))
+
+
+def sum_if(cond: Column, c: Column | str) -> Column:
+    return zsum(F.when(cond, col(c)))
+
+
+def count_all() -> Column:
+    return F.count(F.lit(1))
+
+
+def nunique(c: Column | str) -> Column:
+    """Number of distinct values; null is one of them."""
+    c = col(c)
+    return F.countDistinct(c) + F.max(F.when(c.isNull(), 1).otherwise(0))
+
+
+def iso_weekday(c: Column | str) -> Column:
+    """Monday is 1."""
+    return F.weekday(col(c)) + 1
+
+
+def is_night(c: Column | str) -> Column:
+    return (F.hour(col(c)) >= 22) | (F.hour(col(c)) < 6)
+
+
+def whole_seconds(start: Column | str, end: Column | str) -> Column:
+    """Elapsed whole seconds; not the number of second boundaries that are crossed."""
+    return F.timestamp_diff("SECOND", col(start), col(end))
+
+
+def whole_days(start: Column | str, end: Column | str) -> Column:
+    return F.timestamp_diff("DAY", col(start), col(end))
+
+
+def ratio(a: Column | str, b: Column | str, add: float = EPS) -> Column:
+    return col(a) / (col(b) + F.lit(add))
+
+
+def clean_number(c: Column | str, most: float | None = None) -> Column:
+    """NaN becomes 0, and so does an infinite value, unless most is given: then that, with its sign."""
+    c = col(c)
+    inf = F.lit(0.0) if most is None else F.when(c > 0, F.lit(most)).otherwise(F.lit(-most))
+    return F.when(F.isnan(c), 0.0).when(F.abs(c) == float("inf"), inf).otherwise(c)
+
+
+def quantised(c: Column | str) -> Column:
+    """To 6 decimals, by one formula that engines share; not at half steps, where sums that differ in their last bit would part.
+    From 1e9 on to 6 digits before the point."""
+    c = col(c).cast("double")
+    fine = F.floor(c * 1e6 + 0.623) / 1e6
+    coarse = F.floor(c / 1e6 + 0.623) * 1e6
+    return F.when(F.abs(c) < 1e9, fine).otherwise(coarse) + 0.0
