@@ -18,6 +18,7 @@ same result. Null texts count as empty: they have the end id only.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import os
 import zlib
@@ -35,7 +36,8 @@ SIZE = 2048
 #: Tokens in a block: 32 MB of ids.
 BLOCK = 8 << 20
 #: Stretches whose ids a worker keeps; beyond that the table is emptied.
-KEPT = 1_000_000
+KEPT = 1_500_000
+_MARKS = ".,;:!?*#$%&)]}\"-_=+~^@/"
 #: A gap of so many tokens is padded.
 SMALL_GAP = 8
 
@@ -188,24 +190,63 @@ class Ids:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kept: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
         self.end = np.array([end], "<u4").tobytes()
+        mark = self.tokenizer.encode("|", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 and self.tokenizer.encode("a | b", add_special_tokens=False).ids.count(mark[0]) == 1 else None
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         parts = [stretches(x) if x else [] for x in texts]
-        if len(self.kept) > KEPT:
+        if len(self.kept) >= KEPT:
             self.kept.clear()
         kept = self.kept
         new = list(set().union(*parts).difference(kept))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                kept[x] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(kept.__getitem__, p)) + self.end for p in parts]
+        # A run of Latin letters and the marks after it are pieces of their own to the tokenizer, and case is lost on it: so the
+        # ids of "Word," are those of "word" and ",".
+        cores = self.cores
+        if len(cores) >= KEPT:
+            cores.clear()
+        halves = []
+        todo, whole = set(), []
         for x in new:
+            core = x.rstrip(_MARKS)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0100") and len(x) <= 64:
+                core, tail = core.lower(), x[len(core) :]
+                halves.append((x, core, tail))
+                if core not in cores:
+                    todo.add(core)
+                if tail and tail not in cores:
+                    todo.add(tail)
+            else:
+                whole.append(x)
+        self.fetch(list(todo), cores)
+        self.fetch(whole, kept)
+        for x, core, tail in halves:
+            kept[x] = cores[core] + cores[tail] if tail else cores[core]
+        out = [b"".join(map(kept.__getitem__, p)) + self.end for p in parts]
+        for x in whole:
             if len(x) > 64:
                 del kept[x]
         return out
 
+    def fetch(self, stretches: list[str], kept: dict[str, bytes]) -> None:
+        """Encodes these, many at a time with a mark between them that none of them has."""
+        encode = self.tokenizer.encode_batch_fast
+        plain = [x for x in stretches if "|" not in x] if self.mark is not None else []
+        rest = [x for x in stretches if "|" in x] if self.mark is not None else stretches
+        groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+        for group, e in zip(groups, encode([" | ".join(g) for g in groups], add_special_tokens=False) if groups else [], strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            raw, at = ids.tobytes(), 0
+            for x, end in zip(group, ends, strict=True):
+                kept[x] = raw[4 * at : 4 * end]
+                at = end + 1
+        for i in range(0, len(rest), 1024):
+            some = rest[i : i + 1024]
+            for x, e in zip(some, encode(some, add_special_tokens=False), strict=True):
+                kept[x] = np.array(e.ids, "<u4").tobytes()
+
 
 _ids: dict[tuple[str, int], Ids] = {}
 
@@ -235,6 +276,7 @@ def pack(docs: DataFrame, path: str, end: int = 1, size: int = SIZE, block: int
         doc_ids: list = []
         ids: list[bytes] = []
         held, kind = 0, None
+        gc.disable()  # nothing here makes cycles, and each full collection would visit the kept ids
         for b in batches:
             kind = b.column("doc_id").type
             for i in range(0, b.num_rows, 256):
@@ -250,6 +292,7 @@ def pack(docs: DataFrame, path: str, end: int = 1, size: int = SIZE, block: int
                     held += len(x) // 4
         if ids:
             yield emit(pid, first, doc_ids, kind, ids)[1]
+        gc.enable()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {COLUMNS}" + ", ids binary" * with_ids)
