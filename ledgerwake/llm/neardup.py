@@ -159,10 +159,14 @@ def signed(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return docs.select(text_id().alias("t"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "t long, doc_id long, bands array<long>, z binary")
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """Candidates a < b from members (key, t): distinct pairs of texts that share a key, as the module says."""
+def _shared(members: DataFrame) -> DataFrame:
+    """key, t, n, lead of the members (key, t) whose key has n > 1 of them, lead being the least; written, as most keys have one."""
     size = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lead")).where("n > 1")
-    m = members.join(size, "key")
+    return written(members.join(size, "key"), "near-buckets")
+
+
+def _pairs(m: DataFrame) -> DataFrame:
+    """Candidates a < b from buckets (see _shared): distinct pairs of texts that share a key, as the module says."""
     small = m.where(F.col("n") <= SMALL).select("key", "t")
     every = small.join(small.withColumnRenamed("t", "b"), "key").where("t < b").select(F.col("t").alias("a"), "b")
     large = m.where(F.col("n") > SMALL)
@@ -208,17 +212,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     weights = bucket_weights(df, n)
     table = written(signed(docs, weights), "near-signed")
     texts = written(table.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("bands", ignorenulls=True).alias("bands")), "near-ids")
-    members = texts.select("t", F.explode("bands").alias("key"))
-    links = _verified(_pairs(members), table, weights, threshold)
+    buckets = _shared(texts.select("t", F.explode("bands").alias("key")))
+    links = _verified(_pairs(buckets), table, weights, threshold)
     nodes = written(components(links), "near-classes")
     for _ in range(ROUNDS):
         # several texts of each component in a bucket that has more than one
-        crowd = members.join(members.groupBy("key").count().where(F.col("count") > SMALL).select("key"), "key").join(nodes, F.col("t") == F.col("node"), "left").select("key", "t", F.coalesce("component", "t").alias("c"))
+        crowd = buckets.where(F.col("n") > SMALL).select("key", "t").join(nodes, F.col("t") == F.col("node"), "left").select("key", "t", F.coalesce("component", "t").alias("c"))
         speakers = crowd.groupBy("key", "c").agg(F.array_distinct(F.array(*(F.min_by("t", F.xxhash64(F.lit(i), "t")) for i in range(3)))).alias("t"))
+        speakers = written(speakers, "near-speakers")
         split = speakers.groupBy("key").count().where(F.col("count") > 1).select("key")
         # a pair of speakers of one component is no candidate
-        again = speakers.join(split, "key").select("key", "c", F.explode("t").alias("t"))
-        new = _pairs(again.select("key", "t"))
+        new = _pairs(_shared(speakers.join(split, "key").select("key", F.explode("t").alias("t"))))
         of = nodes.select(F.col("node").alias("n"), "component")
         new = new.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
         new = new.join(links, ["a", "b"], "left_anti")
