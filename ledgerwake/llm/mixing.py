@@ -40,6 +40,12 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def key_of(doc_id: Column, text: Column) -> Column:
+    """60 bits of a hash of a document, by whose order extra copies are dealt; SQL engines can tell it too."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(" "), F.coalesce(text, F.lit(""))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def newton(size: Column, target: Column, steps: int = STEPS) -> Column:
     """The root of size * exp(x) - target, from x = 0; null where the target is 0."""
     ratio = target / F.when(size > 0, size)
@@ -67,8 +73,8 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), mo
 def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0) -> DataFrame:
     """A row a source: source, source_size, target, rate, whole (copies of each document), and where the extra copies end:
     documents with a hash below edge get one more, those at it a share of ``numerator / denominator``."""
-    keyed = docs.select("source", F.xxhash64("doc_id", "text").alias("h"), size_of(F.col("text")).alias("size"))
-    part = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), 52).cast("int")
+    keyed = docs.select("source", key_of(F.col("doc_id"), F.col("text")).alias("h"), size_of(F.col("text")).alias("size"))
+    part = F.shiftright("h", 60 - RANGES.bit_length() + 1).cast("int")
     parts = written(keyed.groupBy("source", part.alias("part")).agg(F.sum("size").alias("size")), "mix-ranges")
     sources = targets(parts.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     solved = sources.withColumn("rate", F.coalesce(F.exp(newton(F.col("source_size"), F.col("target"))), F.lit(0.0)))
@@ -92,8 +98,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: flo
     table = plan(docs, weights, most)
     own = ["source_size", "target", "rate", "whole", "edge", "numerator", "denominator"]
     table = table.select(F.col("source").alias("_s"), *(F.col(c).alias(f"_{c}") for c in own))
-    # Spark's order of signed hashes is the order of ranges, whose numbers have the sign bit flipped
-    sized = docs.withColumn("size", size_of(F.col("text"))).withColumn("_h", F.xxhash64("doc_id", "text"))
+    sized = docs.withColumn("size", size_of(F.col("text"))).withColumn("_h", key_of(F.col("doc_id"), F.col("text")))
     if table.count() <= BROADCAST_ROWS:
         joined = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_s")), "left")
     else:
