@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .tokencount import stretches
+from .tokencount import byte_symbols, stretches
 
 SIZE = 2048
 #: Tokens in a block: 32 MB of ids.
@@ -189,6 +189,7 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model, self.symbols = self.tokenizer.model, byte_symbols()
         self.kept: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
         self.end = np.array([end], "<u4").tobytes()
@@ -207,7 +208,7 @@ class Ids:
         if len(cores) >= KEPT:
             cores.clear()
         halves = []
-        todo, whole = set(), []
+        todo, tails, whole = set(), set(), []
         for x in new:
             core = x.rstrip(_MARKS)
             if core.isalpha() and (core.isascii() or max(core) < "\u0100") and len(x) <= 64:
@@ -216,10 +217,14 @@ class Ids:
                 if core not in cores:
                     todo.add(core)
                 if tail and tail not in cores:
-                    todo.add(tail)
+                    tails.add(tail)
             else:
                 whole.append(x)
-        self.fetch(list(todo), cores)
+        tokenize, symbols = self.model.tokenize, self.symbols
+        for x in todo:
+            # one piece already: nothing to normalise or split, so it goes to the model itself
+            cores[x] = np.array([t.id for t in tokenize(x if x.isascii() else "".join(symbols[b] for b in x.encode()))], "<u4").tobytes()
+        self.fetch(list(tails), cores)
         self.fetch(whole, kept)
         for x, core, tail in halves:
             kept[x] = cores[core] + cores[tail] if tail else cores[core]
