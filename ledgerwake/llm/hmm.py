@@ -82,11 +82,17 @@ class Hmm:
     emit: np.ndarray  # symbols x states
 
 
+def slices_of(batches: Iterator[pa.RecordBatch], most: int = 2500) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, most):
+            yield b.slice(i, most)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """h, c: how often each word occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices_of(batches):
             h, _ = K.words(*K.buffers(b.column("text")))
             u, c = np.unique(h, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], ["h", "c"])
@@ -232,10 +238,9 @@ def baum_welch(docs: DataFrame, m: Hmm, v: Vocabulary) -> Hmm:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, e = K.HashIndex(v.hashes), Expected(v.n_symbols, states)
-        for b in batches:
-            for i in range(0, b.num_rows, 2048):
-                _, _, counts, sym = texts_as_symbols(b.slice(i, 2048), index, v)
-                e.add(m, sym, counts + 1)
+        for b in slices_of(batches):
+            _, _, counts, sym = texts_as_symbols(b, index, v)
+            e.add(m, sym, counts + 1)
         pid = TaskContext.get().partitionId()
         blocks = np.array_split(e.vector(), BLOCKS)
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([pid % 32] * BLOCKS, pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], ["block", "part", "v"])
@@ -282,7 +287,7 @@ def score(docs: DataFrame, v: Vocabulary, m: Hmm | None, counts: DataFrame, held
         share = np.append(np.log10((v.counts + 0.5) / denominator), 0.0)
         share[: v.n_symbols] = 0
         end = float(v.base_log(np.array([float(v.documents)]))[0])
-        for b in batches:
+        for b in slices_of(batches):
             h, at, words, sym = texts_as_symbols(b, index, v)
             doc = K.doc_of(words)
             log = np.bincount(doc, base[at], len(words)) + end
@@ -301,7 +306,7 @@ def score(docs: DataFrame, v: Vocabulary, m: Hmm | None, counts: DataFrame, held
             # a document's own row has a hash that no word has, so that it meets nothing in the join
             yield pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([ids, ids.take(pa.array(rd))]), pa.array(np.r_[tag, tag[rd]]), pa.array(np.r_[tag, rh[new].view(np.int64)]), pa.array(np.r_[np.zeros(n, np.int64), times]),
-                 pa.concat_arrays([pa.array(words + 1, pa.int64()), none(pa.int64())]), pa.concat_arrays([pa.array(known, pa.int64()), none(pa.int64())]), pa.concat_arrays([pa.array(log), none(pa.float64())]), pa.concat_arrays([pa.array(model), none(pa.float64())])],
+                 pa.concat_arrays([pa.array(words + 1, pa.int64()), none(pa.int64())]), pa.concat_arrays([pa.array(known, pa.int64()), none(pa.int64())]), pa.concat_arrays([pa.array(log, pa.float64()), none(pa.float64())]), pa.concat_arrays([pa.array(model, pa.float64()), none(pa.float64())])],
                 ["doc_id", "tag", "h", "n", "n_tokens", "known", "base", "model"],
             )
 
