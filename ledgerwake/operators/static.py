@@ -73,3 +73,14 @@ def numeric_columns(df: DataFrame, drop_prefixes: tuple[str, ...] = (), keep: tu
 def interactions(m: DataFrame) -> DataFrame:
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     return m.withColumns({"pt_x_in_degree": F.col("pass_through_ratio") * z("in_degree"), "zscore_x_txns": F.col("rolling_7d_zscore_max") * z("total_txns")})
+
+
+def important(columns: list[str], importances: DataFrame, least: float = 0.01) -> list[str]:
+    """Of these columns those with a mean importance of at least ``least`` in a table feature, importance (a row a column)."""
+    kept = {r["feature"] for r in importances.where(F.col("importance") >= least).collect()}
+    return [c for c in columns if c in kept]
+
+
+def augmented(train: DataFrame, test: DataFrame, pseudo: DataFrame) -> DataFrame:
+    """Labelled rows and the test rows that got a pseudo-label (account_id, is_mule)."""
+    return train.unionByName(test.join(pseudo, "account_id"), allowMissingColumns=True)

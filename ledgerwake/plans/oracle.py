@@ -163,6 +163,19 @@ def oracle_sql() -> dict[str, str]:
         "total_volume sum_sq_amount max_txn_amount min_txn_amount credit_volume debit_volume avg_txn_amount reversal_ratio credit_debit_ratio max_to_avg_ratio",
         "total_txns reversal_count credit_count debit_count n_channels n_counterparties",
     )
+    q["txn_basic_batched"] = _sql(
+        f"""SELECT account_id, sum(v) AS total_volume, sum(q) AS sum_sq_amount, sum(n) AS total_txns, max(x) AS max_txn_amount, min(m) AS min_txn_amount, sum(r) AS reversal_count, sum(c) AS credit_count, sum(d) AS debit_count, sum(cv) AS credit_volume, sum(dv) AS debit_volume, max(nc) AS n_channels, max(np) AS n_counterparties FROM (
+      SELECT account_id, year(ts) % 4 AS b, sum(abs(amount)) AS v, sum(amount * amount) AS q, count(*) AS n, max(abs(amount)) AS x, min(abs(amount)) AS m, count(*) FILTER (WHERE amount < 0) AS r, count(*) FILTER (WHERE txn_type = 'C') AS c, count(*) FILTER (WHERE txn_type = 'D') AS d,
+      coalesce(sum(abs(amount)) FILTER (WHERE txn_type = 'C'), 0) AS cv, coalesce(sum(abs(amount)) FILTER (WHERE txn_type = 'D'), 0) AS dv, {_NU.format("channel")} AS nc, {_NU.format("counterparty_id")} AS np FROM txn_a GROUP BY ALL) GROUP BY 1""",
+        "total_volume sum_sq_amount max_txn_amount min_txn_amount credit_volume debit_volume",
+        "total_txns reversal_count credit_count debit_count n_channels n_counterparties",
+    )
+    q["iat_burst_batched"] = _sql(
+        """SELECT account_id, avg(a) AS iat_mean, avg(s) AS iat_std, avg(md) AS iat_median, min(mi) AS iat_min, sum(b1) AS burst_count_60s, sum(b5) AS burst_count_5min FROM (SELECT account_id, b, avg(iat) AS a, stddev_samp(iat) AS s, median(iat) AS md, min(iat) AS mi, count(*) FILTER (WHERE iat < 60) AS b1,
+      count(*) FILTER (WHERE iat < 300) AS b5 FROM (SELECT account_id, day(ts) % 2 AS b, CAST(datesub('second', lag(ts) OVER (PARTITION BY account_id, day(ts) % 2 ORDER BY ts), ts) AS DOUBLE) AS iat FROM txn_b) GROUP BY ALL) GROUP BY 1""",
+        "iat_mean iat_std iat_median",
+        "iat_min burst_count_60s burst_count_5min",
+    )
     q["account_master"] = _sql(
         f"""SELECT {_ACCT.format("c_custkey")} AS account_id, c_custkey // 2 AS customer_id, count(*) OVER (PARTITION BY c_custkey // 2) AS account_count_per_customer, c_nationkey AS branch_code, n_name AS branch_name, r_name AS branch_region,
       (c_custkey // 2) % 3 AS n_products, (c_custkey // 2) % 7 AS income_band, c_mktsegment AS account_segment, date_diff('day', opening, DATE '{AS_OF}') AS account_age_days,
@@ -291,6 +304,12 @@ def oracle_sql() -> dict[str, str]:
         "total_volume cp_entropy pass_through_ratio pt_x_in_degree zscore_x_txns",
         "kyc_flag segment total_txns in_degree out_degree n_mule_counterparties n_active_months burst_count_5min",
     )
+    q["feature_matrix_v3"] = _sql(
+        f"""SELECT k.account_id, c_acctbal > 5000 AS kyc_flag, b.total_volume, b.total_txns, coalesce(v3, 0) AS recent_3m_vol, coalesce(n3, 0) AS recent_3m_txns, {_r("coalesce(v3, 0)", "coalesce(b.total_volume, 0)")} AS recent_vol_ratio, {_r("coalesce(n3, 0)", "coalesce(b.total_txns, 0)", "1")} AS recent_txn_ratio,
+      coalesce(n3, 0) > 0 AS is_active_recent FROM (SELECT {_ACCT.format("c_custkey")} AS account_id, c_acctbal FROM customer) k LEFT JOIN basic_a b USING (account_id) LEFT JOIN (SELECT account_id, sum(abs(amount)) AS v3, count(*) AS n3 FROM txn_a WHERE {_R3} GROUP BY 1) r USING (account_id)""",
+        "total_volume recent_3m_vol recent_vol_ratio recent_txn_ratio",
+        "kyc_flag total_txns recent_3m_txns is_active_recent",
+    )
     q["train_split"] = _sql(f"SELECT {_ACCT.format('c_custkey')} AS account_id, c_nationkey AS branch_code, CASE WHEN c_custkey % 5 < 2 THEN -1 ELSE CAST(c_acctbal < 0 AS INTEGER) END AS is_mule FROM customer", longs="branch_code is_mule")
     q["ghost_weights"] = _sql(
         f"SELECT account_id, CASE WHEN pass_through_ratio > 0.35 OR burst > 20 THEN 0.1 ELSE 1 END AS defensive, CASE WHEN pass_through_ratio > 0.18 OR burst > 20 THEN 0.7 ELSE 1 END AS robust FROM ({_pass(2).format('daily_b')}) LEFT JOIN bursts USING (account_id)",

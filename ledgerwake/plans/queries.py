@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quantised
 from ..operators import aggregates as A
+from ..operators import batches as B
 from ..operators import decisions as D
 from ..operators import series as S
 from ..operators import static as M
@@ -49,6 +50,16 @@ def txn_basic(t: Tables) -> DataFrame:
     return A.txn_basic(A.of_accounts(t.txn_a(), all_accounts(t)))
 
 
+@query
+def txn_basic_batched(t: Tables) -> DataFrame:
+    return B.merged(A.txn_basic, t.txn_a().withColumn("batch", F.year("ts") % 4), "batch", [0, 1, 2, 3], B.BASIC)
+
+
+@query
+def iat_burst_batched(t: Tables) -> DataFrame:
+    return B.merged(S.gaps, t.txn_b().withColumn("batch", F.dayofmonth("ts") % 2), "batch", [0, 1], B.GAPS)
+
+
 @query
 def account_master(t: Tables) -> DataFrame:
     extra = t.accounts().select("account_id", F.col("segment").alias("account_segment"))
@@ -273,6 +284,12 @@ def feature_matrix(t: Tables) -> DataFrame:
     return m.select("account_id", "kyc_flag", "segment", "total_volume", "total_txns", "in_degree", "out_degree", "n_mule_counterparties", "n_active_months", "cp_entropy", "burst_count_5min", "pass_through_ratio", "pt_x_in_degree", "zscore_x_txns")
 
 
+@query
+def feature_matrix_v3(t: Tables) -> DataFrame:
+    m = matrix(t).join(A.recency(t.txn_a(), all_accounts(t), CUT_3M, CUT_6M), "account_id", "left")
+    return m.select("account_id", "kyc_flag", "total_volume", "total_txns", "recent_3m_vol", "recent_3m_txns", "recent_vol_ratio", "recent_txn_ratio", "is_active_recent")
+
+
 @query
 def train_split(t: Tables) -> DataFrame:
     train, test = M.split(t.accounts().select("account_id", "branch_code"), t.labels(), t.test_accounts())
