@@ -39,6 +39,7 @@ BANDS, ROWS = 9, 3
 THRESHOLD = 0.8
 SMALL, RING = 8, 2
 ROUNDS = 1
+BITS = 1 << 24
 _TABLE = 1 << 14
 
 
@@ -180,11 +181,23 @@ def _pairs(m: DataFrame) -> DataFrame:
     return every.unionByName(star).unionByName(near).distinct()
 
 
+def _perhaps(rows: DataFrame, need: DataFrame) -> DataFrame:
+    """The rows whose t may be in ``need``, so that the others' texts are not shuffled. A bitmap of ``BITS`` bits, 2 MB whatever the
+    corpus, is broadcast; the more ids there are, the more rows it lets through."""
+    bit = F.pmod(F.col("t"), F.lit(BITS))
+    maps = need.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_bits"))
+    at = rows.withColumn("_at", F.bitmap_bit_position(bit)).withColumn("_map", F.bitmap_bucket_number(bit))
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = at.join(F.broadcast(maps), "_map").withColumn("_byte", byte).where("(shiftright(_byte, cast(_at % 8 as int)) & 1) = 1")
+    return hit.select(*rows.columns)
+
+
 def _verified(pairs: DataFrame, table: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
     """The pairs whose texts have a weighted Jaccard similarity of at least the threshold."""
     pairs = written(pairs, "near-pairs")
-    need = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
-    texts = written(table.where("z is not null").select("t", "z").join(need, "t").groupBy("t").agg(F.first("z").alias("z")), "near-texts")
+    need = written(pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct(), "near-needed")
+    few = _perhaps(table.where("z is not null").select("t", "z"), need)
+    texts = written(few.join(need, "t").groupBy("t").agg(F.first("z").alias("z")), "near-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
