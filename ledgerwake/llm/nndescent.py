@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -42,7 +42,7 @@ def nodes_of(table: DataFrame) -> DataFrame:
     return table.where(valid).select(node_id().alias("g"), x.alias("x")).groupBy("g").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("copies"))
 
 
-def node_id():  # noqa: ANN201
+def node_id() -> Column:
     return F.xxhash64(F.col("embedding").cast("array<double>"))
 
 
@@ -58,9 +58,11 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def _by_length(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of b parted by the length of their vectors."""
     n = np.diff(b.column("x").offsets.to_numpy())
-    for k in np.unique(n):
-        yield b.take(pa.array(np.flatnonzero(n == k))) if len(np.unique(n)) > 1 else b
+    kinds = np.unique(n)
+    for k in kinds:
+        yield b if len(kinds) == 1 else b.take(pa.array(np.flatnonzero(n == k)))
 
 
 def units(nodes: DataFrame) -> DataFrame:

@@ -282,22 +282,24 @@ def pack(docs: DataFrame, path: str, end: int = 1, size: int = SIZE, block: int
         ids: list[bytes] = []
         held, kind = 0, None
         gc.disable()  # nothing here makes cycles, and each full collection would visit the kept ids
-        for b in batches:
-            kind = b.column("doc_id").type
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                for d, x in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist()), strict=True):
-                    if ids and held + len(x) // 4 > block:
-                        k, out = emit(pid, first, doc_ids, kind, ids)
-                        first += k
-                        yield out
-                        doc_ids, ids, held = [], [], 0
-                    doc_ids.append(d)
-                    ids.append(x)
-                    held += len(x) // 4
-        if ids:
-            yield emit(pid, first, doc_ids, kind, ids)[1]
-        gc.enable()
+        try:
+            for b in batches:
+                kind = b.column("doc_id").type
+                for i in range(0, b.num_rows, 256):
+                    part = b.slice(i, 256)
+                    for d, x in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist()), strict=True):
+                        if ids and held + len(x) // 4 > block:
+                            k, out = emit(pid, first, doc_ids, kind, ids)
+                            first += k
+                            yield out
+                            doc_ids, ids, held = [], [], 0
+                        doc_ids.append(d)
+                        ids.append(x)
+                        held += len(x) // 4
+            if ids:
+                yield emit(pid, first, doc_ids, kind, ids)[1]
+        finally:
+            gc.enable()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {COLUMNS}" + ", ids binary" * with_ids)
