@@ -36,6 +36,13 @@ def nunique(c: Column | str) -> Column:
     return F.countDistinct(c) + F.max(F.when(c.isNull(), 1).otherwise(0))
 
 
+def nunique_few(c: Column | str) -> Column:
+    """The same for a column of few values by its nature (a channel, a type): as sets, so that several in one aggregate do not
+    multiply the rows, as several distinct counts do."""
+    c = col(c)
+    return F.size(F.collect_set(c)) + F.max(F.when(c.isNull(), 1).otherwise(0))
+
+
 def iso_weekday(c: Column | str) -> Column:
     """Monday is 1."""
     return F.weekday(col(c)) + 1

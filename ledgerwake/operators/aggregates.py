@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import EPS, count_all, is_night, iso_weekday, nunique, ratio, sum_if, zsum
+from ..functions import EPS, count_all, is_night, iso_weekday, nunique, nunique_few, ratio, sum_if, zsum
 
 
 def of_accounts(txns: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def txn_basic(txns: DataFrame) -> DataFrame:
         F.max(size).alias("max_txn_amount"), F.min(size).alias("min_txn_amount"), F.count_if(F.col("amount") < 0).alias("reversal_count"),
         F.count_if(F.col("txn_type") == "C").alias("credit_count"), F.count_if(F.col("txn_type") == "D").alias("debit_count"),
         sum_if(F.col("txn_type") == "C", size).alias("credit_volume"), sum_if(F.col("txn_type") == "D", size).alias("debit_volume"),
-        nunique("channel").alias("n_channels"), nunique("counterparty_id").alias("n_counterparties"),
+        nunique_few("channel").alias("n_channels"), nunique("counterparty_id").alias("n_counterparties"),
     )
     mean = F.col("total_volume") / F.col("total_txns")
     return a.select(
@@ -69,7 +69,7 @@ def additional_features(joined: DataFrame) -> DataFrame:
 
 def sub_types(joined: DataFrame, accounts: DataFrame) -> DataFrame:
     special = F.col("transaction_sub_type") != "normal"
-    a = joined.groupBy("account_id").agg(count_all().alias("n"), nunique("transaction_sub_type").alias("n_sub_types"), nunique("part_transaction_type").alias("n_part_types"), F.count_if(special).alias("special_txn_cnt"))
+    a = joined.groupBy("account_id").agg(count_all().alias("n"), nunique_few("transaction_sub_type").alias("n_sub_types"), nunique_few("part_transaction_type").alias("n_part_types"), F.count_if(special).alias("special_txn_cnt"))
     a = a.withColumn("special_txn_ratio", ratio("special_txn_cnt", "n", 1)).drop("n")
     return _all_accounts(accounts, a)
 
@@ -135,16 +135,17 @@ def temporal_patterns(txns: DataFrame) -> DataFrame:
     size = F.abs("amount")
     a = txns.groupBy("account_id").agg(
         count_all().alias("n_txns"), F.count_if(is_night("ts")).alias("night_txn_count"), F.count_if(iso_weekday("ts") >= 5).alias("weekend_txn_count"), F.count_if(size % 1000 == 0).alias("round_1k_count"),
-        F.count_if((size >= 45000) & (size < 50000)).alias("structuring_count"), nunique("mcc_code").alias("n_mcc_codes"),
+        F.count_if((size >= 45000) & (size < 50000)).alias("structuring_count"), nunique_few("mcc_code").alias("n_mcc_codes"),
     )
     return a.select("*", *(ratio(f"{k}_count", "n_txns").alias(f"{k}_ratio") for k in ("night_txn", "weekend_txn", "round_1k")))
 
 
 def graph_degree(txns: DataFrame) -> DataFrame:
-    cp, out, into = F.col("counterparty_id"), F.col("txn_type") == "D", F.col("txn_type") == "C"
-    a = txns.where(cp.isNotNull() & (out | into)).groupBy("account_id").agg(
-        F.countDistinct(F.when(out, cp)).alias("out_degree"), F.count_if(out).alias("out_txn_count"), sum_if(out, F.abs("amount")).alias("out_volume"),
-        F.countDistinct(F.when(into, cp)).alias("in_degree"), F.count_if(into).alias("in_txn_count"), sum_if(into, F.abs("amount")).alias("in_volume"),
+    """By pair of accounts first, so that degrees are plain counts and no distinct count multiplies the rows."""
+    out, into, size = F.col("txn_type") == "D", F.col("txn_type") == "C", F.abs("amount")
+    e = txns.where(F.col("counterparty_id").isNotNull() & (out | into)).groupBy("account_id", "counterparty_id").agg(F.count_if(out).alias("on"), sum_if(out, size).alias("ov"), F.count_if(into).alias("n"), sum_if(into, size).alias("v"))
+    a = e.groupBy("account_id").agg(
+        F.count_if(F.col("on") > 0).alias("out_degree"), F.sum("on").alias("out_txn_count"), F.sum("ov").alias("out_volume"), F.count_if(F.col("n") > 0).alias("in_degree"), F.sum("n").alias("in_txn_count"), F.sum("v").alias("in_volume"),
     )
     i, o = F.col("in_volume"), F.col("out_volume")
     return a.select("*", ratio("in_degree", "out_degree", 1).alias("fan_in_out_ratio"), ((i - o) / (i + o + EPS)).alias("volume_asymmetry"), (F.col("in_degree") + F.col("out_degree")).alias("total_degree"))
