@@ -27,13 +27,29 @@ def prob_blend(scores: DataFrame, names: list[str]) -> DataFrame:
     return scores.withColumn("blend", reduce(lambda a, b: a + b, map(F.col, names)) / len(names))
 
 
+#: Ranges into which values are parted to be ranked.
+RANGES = 64
+
+
+def with_before(per: DataFrame, value: str, count: str) -> DataFrame:
+    """``per`` (a row a value, with a count) with _before, the counts of all lower values, and _total.
+
+    Values are parted by rough quantiles, summed by range, and ranked within ranges at once, so that no task sorts all of them.
+    """
+    cuts = sorted(set(per.approxQuantile(value, [i / RANGES for i in range(1, RANGES)], 0.25 / RANGES)))
+    of = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda x: x < F.col(value))) if cuts else F.lit(0)
+    parted = per.withColumn("_range", of)
+    sums = parted.groupBy("_range").agg(F.sum(count).alias("_s"))  # RANGES rows
+    up = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    lower = sums.select("_range", F.coalesce(F.sum("_s").over(up), F.lit(0)).alias("_lower"), F.sum("_s").over(Window.partitionBy()).alias("_total"))
+    within = F.sum(count).over(Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    return parted.join(F.broadcast(lower), "_range").withColumn("_before", F.col("_lower") + F.coalesce(within, F.lit(0))).drop("_range", "_lower")
+
+
 def rank_share(scores: DataFrame, name: str, to: str) -> DataFrame:
-    """Average rank / n. Counted by value first: the sorted pass runs over distinct values with their numbers, not over all rows of a tie."""
-    per = scores.groupBy(name).agg(count_all().alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_c").over(Window.partitionBy())
-    ranked = per.select(name, ((before + (F.col("_c") + 1) / 2) / total).alias(to))
-    return scores.join(ranked, name)
+    """Average rank / n."""
+    per = with_before(scores.groupBy(name).agg(count_all().alias("_c")), name, "_c")
+    return scores.join(per.select(name, ((F.col("_before") + (F.col("_c") + 1) / 2) / F.col("_total")).alias(to)), name)
 
 
 def rank_blend(scores: DataFrame, names: list[str]) -> DataFrame:
@@ -45,8 +61,7 @@ def rank_blend(scores: DataFrame, names: list[str]) -> DataFrame:
 def auc(scored: DataFrame, score: str = "score", label: str = "is_mule") -> DataFrame:
     """One row: the area under the ROC curve, by ranks with ties averaged."""
     per = scored.groupBy(score).agg(F.sum(F.col(label)).alias("p"), count_all().alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = per.select("p", "c", (before + (F.col("c") + 1) / 2).alias("rank"))
+    r = with_before(per, score, "c").select("p", "c", (F.col("_before") + (F.col("c") + 1) / 2).alias("rank"))
     n1, n0 = F.sum("p"), F.sum(F.col("c") - F.col("p"))
     return r.agg(((F.sum(F.col("p") * F.col("rank")) - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0))).alias("auc"))
 
