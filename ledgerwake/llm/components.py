@@ -18,7 +18,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     larger neighbours to the least of all its neighbours and itself."""
     if large:
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written first: a join of two fresh shuffles is one whose large partitions, those of hubs, Spark can split
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = links.groupBy("u").agg(F.min("v").alias("m"))

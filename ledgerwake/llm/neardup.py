@@ -1,16 +1,16 @@
 """MinHash near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 Shingles are runs of five words (A-Z in lower case; a text of fewer words is one shingle). A shingle's
-weight is its number of occurrences times a damped inverse document frequency, from 1 to 1 + ``DAMPING``.
-Damped, as otherwise a document's own odd shingles would outweigh what it shares with a thousand copies, and
+weight is 1 + ln(occurrences) times a damped inverse document frequency, from 1 to 1 + ``DAMPING``. The
+logarithm keeps two texts that repeat one line from being alike whatever else they say. Damped, as otherwise a document's own odd shingles would outweigh what it shares with a thousand copies, and
 large groups would fall apart. Document frequencies are counted over all documents in ``BUCKETS`` hashed
 buckets, so the table is of fixed size.
 
 Each text gets ``BANDS * ROWS`` samples. Texts that share all samples of a band are candidates:
 in a bucket of up to ``SMALL`` different texts all pairs, in a larger one each text with the bucket's least
-and with ``RING`` neighbours in an order of the band's own; what a large bucket leaves apart after
-verification is compared again, each other text with the least of each component there, until nothing new
-is linked. So the candidates stay in proportion to the texts. Pairs with a weighted Jaccard similarity of
+and with ``RING`` neighbours in an order of the band's own; what a large bucket leaves outside its largest
+component is then compared with ``SPEAKERS`` texts of that, for up to ``ROUNDS`` rounds with other texts each
+time. So the candidates stay in proportion to the texts. Pairs with a weighted Jaccard similarity of
 at least 0.8 are links; classes are the components of links. Equal texts are one class from the start: copies
 are never expanded into pairs.
 
@@ -37,8 +37,8 @@ BUCKETS = 1 << 18
 DAMPING = 0.1
 BANDS, ROWS = 9, 3
 THRESHOLD = 0.8
-SMALL, RING = 8, 2
-ROUNDS = 1
+SMALL, RING = 16, 2
+ROUNDS, SPEAKERS = 3, 12
 BITS = 1 << 24
 _TABLE = 1 << 14
 
@@ -78,7 +78,7 @@ def weighted(buf: np.ndarray, offs: np.ndarray, weights: np.ndarray) -> tuple[np
     new = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])]) if len(s) else np.zeros(0, int)
     tf = np.diff(np.append(new, len(s)))
     s = s[new]
-    return s, tf * weights[(s % np.uint64(BUCKETS)).astype(np.int64)], np.bincount(doc[new], minlength=len(counts))
+    return s, (1 + np.log(tf)) * weights[(s % np.uint64(BUCKETS)).astype(np.int64)], np.bincount(doc[new], minlength=len(counts))
 
 
 def _variates() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +162,8 @@ def signed(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 def _shared(members: DataFrame) -> DataFrame:
     """key, t, n, lead of the members (key, t) whose key has n > 1 of them, lead being the least; written, as most keys have one."""
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lead")).where("n > 1")
+    # written first: a join of two fresh shuffles is one whose large partitions Spark can split
+    size = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lead")).where("n > 1"), "near-sizes")
     return written(members.join(size, "key"), "near-buckets")
 
 
@@ -228,16 +229,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     buckets = _shared(texts.select("t", F.explode("bands").alias("key")))
     links = _verified(_pairs(buckets), table, weights, threshold)
     nodes = written(components(links), "near-classes")
-    for _ in range(ROUNDS):
-        # several texts of each component in a bucket that has more than one
+    for seed in range(ROUNDS):
+        # a large bucket's texts that are outside its largest component are compared with several texts of that, others each round
         crowd = buckets.where(F.col("n") > SMALL).select("key", "t").join(nodes, F.col("t") == F.col("node"), "left").select("key", "t", F.coalesce("component", "t").alias("c"))
-        speakers = crowd.groupBy("key", "c").agg(F.array_distinct(F.array(*(F.min_by("t", F.xxhash64(F.lit(i), "t")) for i in range(3)))).alias("t"))
-        speakers = written(speakers, "near-speakers")
-        split = speakers.groupBy("key").count().where(F.col("count") > 1).select("key")
-        # a pair of speakers of one component is no candidate
-        new = _pairs(_shared(speakers.join(split, "key").select("key", F.explode("t").alias("t"))))
-        of = nodes.select(F.col("node").alias("n"), "component")
-        new = new.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        speakers = F.array_distinct(F.array(*(F.min_by("t", F.xxhash64(F.lit(seed * SPEAKERS + i), "t")) for i in range(SPEAKERS))))
+        parts = crowd.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), speakers.alias("speakers"))
+        largest = written(parts.groupBy("key").agg(F.max(F.struct("k", "c", "speakers")).alias("p"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("p.c").alias("pc"), F.col("p.speakers").alias("speakers")), "near-largest")
+        new = crowd.join(largest, "key").where("c != pc").select("t", F.explode("speakers").alias("o")).select(F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b")).distinct()
         new = new.join(links, ["a", "b"], "left_anti")
         found = _verified(new, table, weights, threshold)
         if found.isEmpty():
