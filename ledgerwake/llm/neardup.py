@@ -139,7 +139,8 @@ def text_id() -> Column:
 
 
 def signed(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """t (id of the text), doc_id, bands and z (the compressed text) of each row; of rows with equal texts in a batch only one has the latter two."""
+    """t (id of the text), doc_id, bands, mass (the shingles' weights together) and z (the compressed text) of each row; of rows with
+    equal texts in a batch only one has the latter three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
@@ -151,34 +152,42 @@ def signed(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 lines = [buf[offs[i + x] : offs[i + x + 1]].tobytes() for x in first.tolist()]
                 s, w, counts = weighted(*K.of_texts(lines), weights)
                 h = bands(samples(s, w, counts, BANDS * ROWS)).view(np.int64).tolist()
+                mass = np.bincount(K.doc_of(counts), w, len(counts)).tolist()
                 keys: list = [None] * (j - i)
+                masses: list = [None] * (j - i)
                 z: list = [None] * (j - i)
                 for k, x in enumerate(first.tolist()):
-                    keys[x], z[x] = h[k] if counts[k] else [], pack.compress(lines[k])
-                yield pa.RecordBatch.from_arrays([part.column("t"), part.column("doc_id"), pa.array(keys, pa.list_(pa.int64())), pa.array(z, pa.binary())], ["t", "doc_id", "bands", "z"])
+                    keys[x], masses[x], z[x] = h[k] if counts[k] else [], mass[k], pack.compress(lines[k])
+                yield pa.RecordBatch.from_arrays([part.column("t"), part.column("doc_id"), pa.array(keys, pa.list_(pa.int64())), pa.array(masses, pa.float64()), pa.array(z, pa.binary())], ["t", "doc_id", "bands", "mass", "z"])
 
-    return docs.select(text_id().alias("t"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "t long, doc_id long, bands array<long>, z binary")
+    return docs.select(text_id().alias("t"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "t long, doc_id long, bands array<long>, mass double, z binary")
 
 
 def _shared(members: DataFrame) -> DataFrame:
-    """key, t, n, lead of the members (key, t) whose key has n > 1 of them, lead being the least; written, as most keys have one."""
+    """key, t, mass, n, lead of the members (key, t, mass) whose key has n > 1 of them, lead being the one with the least (t, mass);
+    written, as most keys have one."""
     # written first: a join of two fresh shuffles is one whose large partitions Spark can split
-    size = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lead")).where("n > 1"), "near-sizes")
+    size = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "mass")).alias("lead")).where("n > 1"), "near-sizes")
     return written(members.join(size, "key"), "near-buckets")
 
 
-def _pairs(m: DataFrame) -> DataFrame:
+def _alike(a: str, b: str, threshold: float) -> Column:
+    """Whether two masses allow the similarity: it is at most the ratio of the lesser to the greater."""
+    return F.least(a, b) >= F.greatest(a, b) * (threshold - 1e-9)
+
+
+def _pairs(m: DataFrame, threshold: float) -> DataFrame:
     """Candidates a < b from buckets (see _shared): distinct pairs of texts that share a key, as the module says."""
-    small = m.where(F.col("n") <= SMALL).select("key", "t")
-    every = small.join(small.withColumnRenamed("t", "b"), "key").where("t < b").select(F.col("t").alias("a"), "b")
+    small = m.where(F.col("n") <= SMALL).select("key", "t", "mass")
+    every = small.join(small.toDF("key", "b", "other"), "key").where(F.col("t") < F.col("b")).where(_alike("mass", "other", threshold)).select(F.col("t").alias("a"), "b")
     large = m.where(F.col("n") > SMALL)
-    star = large.where("t != lead").select(F.col("lead").alias("a"), F.col("t").alias("b"))
-    mixed = large.withColumn("h", F.xxhash64("t", "key"))
+    star = large.where((F.col("t") != F.col("lead.t")) & _alike("mass", "lead.mass", threshold)).select(F.col("lead.t").alias("a"), F.col("t").alias("b"))
+    mixed = large.withColumn("h", F.xxhash64("t", "key")).withColumn("own", F.struct("t", "mass"))
     # rings of about 1000, so that no key's texts meet in one task
     ring = Window.partitionBy("key", F.pmod("h", F.ceil(F.col("n") / 1000))).orderBy("h")
-    near = mixed.select("t", F.array(*(F.lead("t", i).over(ring) for i in range(1, RING + 1))).alias("others"))
-    near = near.select("t", F.explode("others").alias("o")).where("o is not null")
-    near = near.select(F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"))
+    near = mixed.select("t", "mass", F.array(*(F.lead("own", i).over(ring) for i in range(1, RING + 1))).alias("others"))
+    near = near.select("t", "mass", F.explode("others").alias("o")).where(F.col("o").isNotNull() & _alike("mass", "o.mass", threshold))
+    near = near.select(F.least("t", "o.t").alias("a"), F.greatest("t", "o.t").alias("b"))
     return every.unionByName(star).unionByName(near).distinct()
 
 
@@ -225,17 +234,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     df, n = document_frequencies(docs)
     weights = bucket_weights(df, n)
     table = written(signed(docs, weights), "near-signed")
-    texts = written(table.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("bands", ignorenulls=True).alias("bands")), "near-ids")
-    buckets = _shared(texts.select("t", F.explode("bands").alias("key")))
-    links = _verified(_pairs(buckets), table, weights, threshold)
+    texts = written(table.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("bands", ignorenulls=True).alias("bands"), F.first("mass", ignorenulls=True).alias("mass")), "near-ids")
+    buckets = _shared(texts.select("t", "mass", F.explode("bands").alias("key")))
+    links = _verified(_pairs(buckets, threshold), table, weights, threshold)
     nodes = written(components(links), "near-classes")
     for seed in range(ROUNDS):
         # a large bucket's texts that are outside its largest component are compared with several texts of that, others each round
-        crowd = buckets.where(F.col("n") > SMALL).select("key", "t").join(nodes, F.col("t") == F.col("node"), "left").select("key", "t", F.coalesce("component", "t").alias("c"))
-        speakers = F.array_distinct(F.array(*(F.min_by("t", F.xxhash64(F.lit(seed * SPEAKERS + i), "t")) for i in range(SPEAKERS))))
+        crowd = buckets.where(F.col("n") > SMALL).select("key", "t", "mass").join(nodes, F.col("t") == F.col("node"), "left").select("key", "t", "mass", F.coalesce("component", "t").alias("c"))
+        speakers = F.array_distinct(F.array(*(F.min_by(F.struct("t", "mass"), F.xxhash64(F.lit(seed * SPEAKERS + i), "t")) for i in range(SPEAKERS))))
         parts = crowd.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), speakers.alias("speakers"))
-        largest = written(parts.groupBy("key").agg(F.max(F.struct("k", "c", "speakers")).alias("p"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("p.c").alias("pc"), F.col("p.speakers").alias("speakers")), "near-largest")
-        new = crowd.join(largest, "key").where("c != pc").select("t", F.explode("speakers").alias("o")).select(F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b")).distinct()
+        largest = parts.groupBy("key").agg(F.max(F.struct("k", "c", "speakers")).alias("p"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        largest = written(largest.select("key", F.col("p.c").alias("pc"), F.col("p.speakers").alias("speakers")), "near-largest")
+        fit = F.filter("speakers", lambda s: F.least(s["mass"], F.col("mass")) >= F.greatest(s["mass"], F.col("mass")) * (threshold - 1e-9))
+        new = crowd.join(largest, "key").where("c != pc").select("t", F.explode(fit).alias("o")).select(F.least("t", "o.t").alias("a"), F.greatest("t", "o.t").alias("b")).distinct()
         new = new.join(links, ["a", "b"], "left_anti")
         found = _verified(new, table, weights, threshold)
         if found.isEmpty():
