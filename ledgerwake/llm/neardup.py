@@ -246,7 +246,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         largest = parts.groupBy("key").agg(F.max(F.struct("k", "c", "speakers")).alias("p"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         largest = written(largest.select("key", F.col("p.c").alias("pc"), F.col("p.speakers").alias("speakers")), "near-largest")
         fit = F.filter("speakers", lambda s: F.least(s["mass"], F.col("mass")) >= F.greatest(s["mass"], F.col("mass")) * (threshold - 1e-9))
-        new = crowd.join(largest, "key").where("c != pc").select("t", F.explode(fit).alias("o")).select(F.least("t", "o.t").alias("a"), F.greatest("t", "o.t").alias("b")).distinct()
+        # of the buckets in which a text meets a component, a list a band at most: no pair is made twice
+        met = crowd.join(largest, "key").where("c != pc").groupBy("t", "pc").agg(F.array_distinct(F.flatten(F.collect_list(fit))).alias("others"))
+        new = met.select("t", F.explode("others").alias("o")).select(F.least("t", "o.t").alias("a"), F.greatest("t", "o.t").alias("b")).distinct()
         new = new.join(links, ["a", "b"], "left_anti")
         found = _verified(new, table, weights, threshold)
         if found.isEmpty():
