@@ -5,7 +5,9 @@ neighbours (both ways) then refine the lists of ``NEIGHBOURS`` best. Edges near
 double precision and kept from the threshold on. Where a list is saturated - all of its neighbours are above the
 threshold - it is too short for what it should hold; it is enlarged to its whole component of links, whose members
 are compared in blocks. The recall is audited: for a bounded number of vectors, chosen by hash, links are found by
-comparing them with all rows; below ``TARGET`` more trees are grown and the descent goes on.
+comparing them with all rows. Each vector that has links counts alike, and vectors outside the largest components are
+sampled for themselves, until ``LINKED`` with links are among them or ``MOST_AUDITED`` are compared. Below ``TARGET`` more
+trees are grown and the descent goes on; after ``MOST_ROUNDS`` all vectors of different components are compared in blocks.
 
 Equal vectors are one node from the start, with their number: copies are not expanded. Vectors that are null, zero,
 or hold null or non-finite components link with nothing; so do vectors of different lengths with each other. A null
@@ -29,7 +31,11 @@ NEIGHBOURS = 12
 TREES, STEPS = 10, 2
 LEAF = 256
 BLOCK = 512
-AUDITED, TARGET, MOST_ROUNDS = 256, 0.97, 4
+AUDITED, TARGET, MOST_ROUNDS = 256, 0.97, 8
+#: Audited outside the largest components: up to so many vectors (and bytes of them), until so many have links.
+MOST_AUDITED, AUDITED_BYTES, LINKED = 1 << 14, 16 << 20, 64
+#: A component is one of the largest if it holds more than one in so many vectors.
+LARGE = 64
 #: The graph is made in half precision, which is off by less than this.
 SLACK = 5e-3
 _EDGES = "a long, b long, s float"
@@ -186,29 +192,87 @@ def enlarged(member: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
     return tiles.groupBy("component", "hi", "lo").applyInArrow(run, "g long, links long").groupBy("g").agg(F.sum("links").alias("links"))
 
 
-def audit(member: DataFrame, nodes: DataFrame, n: int, threshold: float, most: int = AUDITED) -> float:
-    """Recall over the links of about ``most`` nodes, chosen by hash, which are compared with all rows. The enlarged lists hold every
-    link within a component, so a link counts as found if its ends are in one component of ``member``."""
-    picked = nodes.where(F.pmod(F.xxhash64("g"), F.lit(1 << 30)) < int(min(1.0, most / max(1, n)) * (1 << 30))).select("g", "x").collect()
-    if not picked:
-        return 1.0
-    ask = {d: (np.array([r["g"] for r in picked if len(r["x"]) == d], np.int64), unit(np.array([r["x"] for r in picked if len(r["x"]) == d]))) for d in {len(r["x"]) for r in picked}}
+def bridges(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Links a, b between different components c of the vectors (g, x) that share a key (rows: key, c, g, x). A key's vectors are all
+    compared, in pairs of blocks; each pair of blocks returns no more links than join its components."""
+    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
+    cut = rows.join(size.select("key", F.ceil(F.col("n") / block).alias("of")), "key").withColumn("i", F.pmod(F.xxhash64("g"), F.col("of")))
+    tiles = cut.select("key", "c", "g", "x", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("j"))
+    tiles = tiles.select("key", F.greatest("i", "j").alias("hi"), F.least("i", "j").alias("lo"), (F.col("i") >= F.col("j")).alias("upper"), "c", "g", "x")
+
+    def run(t: pa.Table) -> pa.Table:
+        own = t["hi"][0].as_py() == t["lo"][0].as_py()
+        pairs = []
+        for b in _by_length(pa.RecordBatch.from_arrays([t[k].combine_chunks() for k in ("c", "g", "x", "upper")], ["c", "g", "x", "upper"])):
+            g, x, upper = b.column("g").to_numpy(), unit(matrix(b.column("x"))), b.column("upper").to_numpy(zero_copy_only=False)
+            top = np.unique(b.column("c").to_numpy(), return_inverse=True)[1]
+            p = np.flatnonzero(upper)
+            q = p if own else np.flatnonzero(~upper)
+            for k in range(0, len(p), BLOCK):
+                r = p[k : k + BLOCK]
+                i, j = np.nonzero((x[r] @ x[q].T >= threshold) & (top[r][:, None] != top[q][None, :]))
+                i, j = r[i], q[j]
+                _, first = np.unique(np.minimum(top[i], top[j]) * len(g) + np.maximum(top[i], top[j]), return_index=True)
+                for v, w in zip(i[first].tolist(), j[first].tolist(), strict=True):
+                    if top[v] != top[w]:
+                        pairs.append((g[v], g[w]))
+                        top[top == top[w]] = top[v]
+        found = np.array(pairs, np.int64).reshape(-1, 2)
+        return pa.table({"a": found.min(1), "b": found.max(1)})
+
+    return tiles.groupBy("key", "hi", "lo").applyInArrow(run, "a long, b long").distinct()
+
+
+def named(nodes: DataFrame, member: DataFrame) -> DataFrame:
+    """c, g, x: the vectors with their component; one without links is its own."""
+    return nodes.join(member, F.col("g") == F.col("node"), "left").select(F.coalesce("component", "g").alias("c"), "g", "x")
+
+
+def _recalled(picked: list, rows: DataFrame, threshold: float) -> np.ndarray:
+    """The share of its links that each of the picked vectors has in its own component, of those that have links."""
+    picked = list({r["g"]: r for r in picked}.values())
+    ask = {}
+    for d in {len(r["x"]) for r in picked}:
+        of = [r for r in picked if len(r["x"]) == d]
+        ask[d] = np.array([r["g"] for r in of], np.int64), np.array([r["c"] for r in of], np.int64), unit(np.array([r["x"] for r in of]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in _by_length(batch):
                 x = matrix(b.column("x"))
                 if x.shape[1] in ask:
-                    g, q = ask[x.shape[1]]
-                    i, j = np.nonzero(unit(x) @ q.T >= threshold)
-                    own = b.column("g").to_numpy()
-                    keep = own[i] != g[j]
-                    yield pa.RecordBatch.from_arrays([pa.array(g[j][keep]), pa.array(own[i][keep])], ["p", "q"])
-
-    true = nodes.select("g", "x").mapInArrow(run, "p long, q long")
-    both = true.join(member.toDF("p", "cp"), "p", "left").join(member.toDF("q", "cq"), "q", "left")
-    r = both.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("cp") == F.col("cq"), 1)).alias("hit")).first()
-    return r["hit"] / r["n"] if r["n"] else 1.0
+                    g, c, q = ask[x.shape[1]]
+                    links, hits = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
+                    for k in range(0, len(x), BLOCK):
+                        near = (unit(x[k : k + BLOCK]) @ q.T >= threshold) & (b.column("g").to_numpy()[k : k + BLOCK, None] != g)
+                        links += near.sum(0)
+                        hits += (near & (b.column("c").to_numpy()[k : k + BLOCK, None] == c)).sum(0)
+                    at = np.flatnonzero(links)
+                    yield pa.RecordBatch.from_arrays([pa.array(g[at]), pa.array(links[at]), pa.array(hits[at])], ["g", "links", "hits"])
+
+    sums = rows.mapInArrow(run, "g long, links long, hits long").groupBy("g").agg(F.sum("links").alias("links"), F.sum("hits").alias("hits")).collect()  # one of each picked
+    return np.array([r["hits"] / r["links"] for r in sums])
+
+
+def audit(member: DataFrame, nodes: DataFrame, n: int, threshold: float) -> float:
+    """Recall of a vector's links, as the mean over vectors that have any; the lesser one of vectors of all kinds and of those outside the
+    largest components. Vectors are chosen by hash and compared with all rows. The enlarged lists hold every link within a component,
+    so a link counts as found if its ends are in one component of ``member``."""
+    large = [r["component"] for r in member.groupBy("component").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > n / LARGE).collect()]  # below LARGE
+    rows = written(named(nodes, member), "vectors-named")
+    apart = rows.where(~F.col("c").isin(large))
+    m = apart.count()
+    chosen = lambda of, k, total: of.where(F.pmod(F.xxhash64("g"), F.lit(1 << 30)) < int(min(1.0, k / max(1, total)) * (1 << 30))).collect()
+    recall = [_recalled(chosen(rows, AUDITED, n), rows, threshold)]
+    longest = rows.agg(F.max(F.size("x"))).first()[0] or 1
+    most = max(AUDITED, min(MOST_AUDITED, AUDITED_BYTES // (8 * longest)))
+    k = AUDITED
+    while m:
+        recall[1:] = [_recalled(chosen(apart, k, m), rows, threshold)]
+        if len(recall[1]) >= LINKED or k >= min(m, most):
+            break
+        k = min(8 * k, most)
+    return min((float(r.mean()) for r in recall if len(r)), default=1.0)
 
 
 def link(table: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, steps: int = STEPS) -> DataFrame:
@@ -228,6 +292,9 @@ def link(table: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, ste
         member = written(components(links), "vector-components")
         if audit(member, nodes, n, threshold) >= TARGET:
             break
+    else:
+        rest = bridges(named(nodes, member).withColumn("key", F.lit(0)), threshold, 8 * BLOCK)
+        member = written(components(written(links.unionByName(rest), "vector-links")), "vector-components")
     more = enlarged(member, nodes, threshold)
     facts = nodes.select("g", "copies").join(more, "g", "left").join(member, F.col("g") == F.col("node"), "left").select("g", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "g").alias("c"))
     facts = written(facts, "vector-facts")

@@ -61,6 +61,33 @@ def test_a_crowded_cluster_keeps_every_link(spark):
     assert {r["vec_id"]: r["n_links"] for r in nndescent.link(df).collect()} == {k: d for (k, _), d in zip(table, degree.tolist(), strict=True)}
 
 
+def _a_crowd_and_pairs():
+    """One group of a third of the rows, and pairs that have no other neighbours."""
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal(32)
+    table = [(i, (base + rng.standard_normal(32) * 0.1).tolist()) for i in range(300)]
+    for k in range(300):
+        v = rng.standard_normal(32)
+        table += [(1000 + 2 * k, v.tolist()), (1001 + 2 * k, (v + rng.standard_normal(32) * 0.4).tolist())]
+    return table
+
+
+def test_lost_pairs_are_seen_beside_a_crowd(spark):
+    table = _a_crowd_and_pairs()
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in nndescent.link(df, trees=1, steps=0).collect()}
+    want = {int(k): int(c) for k, _, c in (x.strip("()").split(", ") for x in brute(table))}
+    pairs = [k for k in want if k > 1000 and want[k] != k]
+    assert len(pairs) > 200 and sum(got[k] != want[k] for k in pairs) <= (1 - nndescent.TARGET) * len(pairs)
+
+
+def test_the_last_round_compares_all(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "MOST_ROUNDS", 1)
+    table = _a_crowd_and_pairs()
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    assert sorted(str((r["vec_id"], r["n_links"], r["component_id"])) for r in nndescent.link(df, trees=1, steps=0).collect()) == brute(table)
+
+
 @pytest.mark.parametrize("name", ["op6_nn_descent", "op7_warc_zip", "op8_source_mixing"])
 def test_sql(spark, small, name):
     assert rows(queries()[name](spark, small)) == duck_rows(oracle_sql()[name], small)
