@@ -10,7 +10,8 @@ Each text gets ``BANDS * ROWS`` samples. Texts that share all samples of a band
 in a bucket of up to ``SMALL`` different texts all pairs, in a larger one each text with the bucket's least
 and with ``RING`` neighbours in an order of the band's own; what a large bucket leaves outside its largest
 component is then compared with ``SPEAKERS`` texts of that, for up to ``ROUNDS`` rounds with other texts each
-time. So the candidates stay in proportion to the texts. Pairs with a weighted Jaccard similarity of
+time. That leaves few components apart in a bucket; an exact join of rare shingles (see ``_left``) then takes every
+pair of its texts that are not yet in one component and may be similar. Pairs with a weighted Jaccard similarity of
 at least 0.8 are links; classes are the components of links. Equal texts are one class from the start: copies
 are never expanded into pairs.
 
@@ -228,6 +229,53 @@ def _verified(pairs: DataFrame, table: DataFrame, weights: np.ndarray, threshold
     return written(both.mapInArrow(run, "a long, b long"), "near-links")
 
 
+def _rare(texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+    """t, c, mass, token, rest of texts (t, c, z): the rarest shingles of each, and the mass from each on, in one order for all texts. The
+    shingles after them have too little mass for a similar text to share only those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                lines = [unpack.decompress(z, max_output_size=1 << 31) if z else b"" for z in part.column("z").to_pylist()]
+                s, w, counts = weighted(*K.of_texts(lines), weights)
+                doc = K.doc_of(counts)
+                order = np.lexsort((s, -weights[(s % np.uint64(BUCKETS)).astype(np.int64)], doc))
+                s, w = s[order], w[order]
+                mass = np.bincount(doc, w, len(counts))
+                done = np.cumsum(w) - w
+                rest = mass[doc] - (done - done[(np.cumsum(counts) - counts)[doc]])
+                k = np.flatnonzero(rest >= (threshold - 1e-6) * mass[doc])
+                of = pa.array(doc[k])
+                yield pa.RecordBatch.from_arrays([part.column("t").take(of), part.column("c").take(of), pa.array(mass[doc[k]]), pa.array(s[k].view(np.int64)), pa.array(rest[k])], ["t", "c", "mass", "token", "rest"])
+
+    return texts.mapInArrow(run, "t long, c long, mass double, token long, rest double")
+
+
+def _left(crowd: DataFrame, table: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+    """Distinct pairs a < b of texts of crowd (key, t, c) in different components c, with every one that has at least the threshold's
+    similarity among them: the first shingle that both have, rarest first, is one of both's ``_rare``, and what follows it has the mass
+    that the similarity needs. Of a shingle's texts, those of its largest component do not meet each other."""
+    parted = crowd.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
+    need = written(crowd.join(parted.select("key"), "key", "left_semi").select("t", "c").distinct(), "near-left")
+    texts = _perhaps(table.where("z is not null").select("t", "z"), need).join(need, "t").groupBy("t").agg(F.first("c").alias("c"), F.first("z").alias("z"))
+    rare = written(_rare(texts, weights, threshold), "near-rare")
+    per = rare.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
+    largest = per.groupBy("token").agg(F.max(F.struct("k", "c")).alias("p"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    several = written(rare.join(written(largest.select("token", F.col("p.c").alias("pc")), "near-shared"), "token"), "near-several")
+    other = several.where("c != pc").select("token", F.col("t").alias("o"), F.col("c").alias("co"), F.col("mass").alias("mo"), F.col("rest").alias("ro"))
+    enough = F.least("rest", "ro") * (1 + threshold) >= (F.col("mass") + F.col("mo")) * (threshold - 1e-6)
+    # two others are met from both sides: one is enough
+    met = several.join(other, "token").where((F.col("c") != F.col("co")) & enough & ((F.col("c") == F.col("pc")) | (F.col("t") < F.col("o"))))
+    return met.select(F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b")).distinct()
+
+
+def _crowd(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, t, mass, c (component) of the texts in large buckets."""
+    return buckets.where(F.col("n") > SMALL).select("key", "t", "mass").join(nodes, F.col("t") == F.col("node"), "left").select("key", "t", "mass", F.coalesce("component", "t").alias("c"))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, t (id of the text), class_id (the least doc_id of its class), class_size (rows), kept_t: one row for each row of docs.
     kept_t is the text that stays of the class: that of class_id."""
@@ -240,7 +288,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = written(components(links), "near-classes")
     for seed in range(ROUNDS):
         # a large bucket's texts that are outside its largest component are compared with several texts of that, others each round
-        crowd = buckets.where(F.col("n") > SMALL).select("key", "t", "mass").join(nodes, F.col("t") == F.col("node"), "left").select("key", "t", "mass", F.coalesce("component", "t").alias("c"))
+        crowd = _crowd(buckets, nodes)
         speakers = F.array_distinct(F.array(*(F.min_by(F.struct("t", "mass"), F.xxhash64(F.lit(seed * SPEAKERS + i), "t")) for i in range(SPEAKERS))))
         parts = crowd.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), speakers.alias("speakers"))
         largest = parts.groupBy("key").agg(F.max(F.struct("k", "c", "speakers")).alias("p"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
@@ -255,6 +303,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             break
         links = links.unionByName(found)
         nodes = written(components(links), "near-classes")
+    found = _verified(_left(_crowd(buckets, nodes), table, weights, threshold), table, weights, threshold)
+    if not found.isEmpty():
+        nodes = written(components(links.unionByName(found)), "near-classes")
     own = texts.join(nodes, F.col("t") == F.col("node"), "left").select("t", "doc_id", "rows", F.coalesce("component", "t").alias("c"))
     best = own.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("best"), F.sum("rows").alias("class_size"))
     of_text = own.join(best, "c").select("t", F.col("best.doc_id").alias("class_id"), F.col("best.t").alias("kept_t"), "class_size")

@@ -64,6 +64,25 @@ def test_large_groups_of_copies_and_near_copies(spark):
     assert sum(x.endswith(", 0)") for x in got) == 450 and len({x.split(", ")[1] for x in got}) == 201
 
 
+def test_pairs_in_a_bucket_that_is_another_groups(spark):
+    """Texts that share a passage, too little to be alike; each is alike to one other only."""
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage = words(380)
+    rows = [(k, f"{passage} {words(73)}") for k in range(1, 21)]
+    for k in range(60):
+        own = words(27)
+        rows += [(100 + 2 * k + i, f"{passage} {own} {words(43)}") for i in (0, 1)]
+    group = words(70).split()
+    for k in range(60):
+        t = list(group)
+        t[rng.randrange(70)] = words(1)
+        rows.append((1000 + k, f"{passage} {' '.join(t)}"))
+    want, docs = brute(spark, rows)
+    assert len({x.split(", ")[1] for x in want}) == 81
+    assert found(docs) == want
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "one two"), (4, "one two"), (4, "one two"), (5, "ONE two"), (6, "two one"), (None, "one two"), (None, "z"), (8, "w " * 20_000), (9, "w " * 20_001), (10, " \n")]
     want, docs = brute(spark, rows)
