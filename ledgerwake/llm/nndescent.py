@@ -4,7 +4,8 @@ A forest of random hyperplanes gives each vector first neighbours; joins of neig
 neighbours (both ways) then refine the lists of ``NEIGHBOURS`` best. Edges near the threshold are computed again in
 double precision and kept from the threshold on. Where a list is saturated - all of its neighbours are above the
 threshold - it is too short for what it should hold; it is enlarged to its whole component of links, whose members
-are compared in blocks. The recall is audited: for a bounded number of vectors, chosen by hash, links are found by
+are compared in blocks. As such lists may hold none of the links that leave the component, saturated vectors are also
+compared with all saturated vectors of other components in their leaves. The recall is audited: for a bounded number of vectors, chosen by hash, links are found by
 comparing them with all rows. Each vector that has links counts alike, and vectors outside the largest components are
 sampled for themselves, until ``LINKED`` with links are among them or ``MOST_AUDITED`` are compared. Below ``TARGET`` more
 trees are grown and the descent goes on; after ``MOST_ROUNDS`` all vectors of different components are compared in blocks.
@@ -83,8 +84,8 @@ def units(nodes: DataFrame) -> DataFrame:
     return nodes.select("g", "x").mapInArrow(run, "g long, dim int, u binary")
 
 
-def leaves(u: DataFrame, n: int, first: int, trees: int) -> DataFrame:
-    """key, g, u: the vectors of each leaf; leaf sizes are bounded by dealing crowded ones out by hash."""
+def codes(u: DataFrame, n: int, first: int, trees: int) -> DataFrame:
+    """code, g: the leaf of each vector in each tree."""
     bits = int(min(20, max(1, np.ceil(np.log2(max(2, n / 128))))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,8 +99,12 @@ def leaves(u: DataFrame, n: int, first: int, trees: int) -> DataFrame:
                     code = (x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(code + (t << 20) + (int(d) << 32)), part.column("g")], ["code", "g"])
 
+    return u.mapInArrow(run, "code long, g long")
+
+
+def leaves(coded: DataFrame, u: DataFrame) -> DataFrame:
+    """key, g, u: the vectors of each leaf; leaf sizes are bounded by dealing crowded ones out by hash."""
     # without the vectors, which join once the leaves are known
-    coded = written(u.mapInArrow(run, "code long, g long"), "leaf-codes")
     size = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     dealt = coded.join(size, "code").select(F.xxhash64("code", F.pmod(F.xxhash64("g", "code"), F.ceil(F.col("n") / LEAF))).alias("key"), "g")
     return dealt.join(u.select("g", "u"), "g")
@@ -280,9 +285,10 @@ def link(table: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, ste
     nodes = written(nodes_of(table), "vectors")
     n = nodes.count()
     u = written(units(nodes), "vectors-unit")
-    graph = None
+    graph = bridged = None
     for round_ in range(MOST_ROUNDS):
-        members = leaves(u, n, round_ * trees, trees).withColumn("w", F.lit(-1.0).cast("float"))
+        coded = written(codes(u, n, round_ * trees, trees), "leaf-codes")
+        members = leaves(coded, u).withColumn("w", F.lit(-1.0).cast("float"))
         grown = _grouped(members, False)
         graph = written(best(grown if graph is None else graph.unionByName(grown)), "graph")
         for _ in range(steps):
@@ -290,6 +296,15 @@ def link(table: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, ste
         near = graph.where(F.col("s") >= threshold - SLACK).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = written(exact(near, nodes, threshold), "vector-links")
         member = written(components(links), "vector-components")
+        # a list that ends above the threshold may lack links that leave the component
+        full = graph.groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.min("s").alias("w")).where((F.col("k") >= NEIGHBOURS) & (F.col("w") >= threshold - SLACK))
+        crowded = written(named(nodes, member).join(full.select(F.col("a").alias("g")), "g", "left_semi"), "vectors-crowded")
+        across = written(bridges(coded.withColumnRenamed("code", "key").join(crowded, "g"), threshold), "vector-links")
+        if not across.isEmpty():
+            bridged = across if bridged is None else bridged.unionByName(across)
+        if bridged is not None:
+            links = links.unionByName(bridged)
+            member = written(components(links), "vector-components")
         if audit(member, nodes, n, threshold) >= TARGET:
             break
     else:

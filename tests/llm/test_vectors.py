@@ -88,6 +88,21 @@ def test_the_last_round_compares_all(spark, monkeypatch):
     assert sorted(str((r["vec_id"], r["n_links"], r["component_id"])) for r in nndescent.link(df, trees=1, steps=0).collect()) == brute(table)
 
 
+@pytest.mark.parametrize(("size", "between"), [(20, 0.93), (60, 0.88)])
+def test_dense_groups_that_few_links_join(spark, monkeypatch, size, between):
+    """Each vector has more neighbours in its group than a list holds, all of them nearer than the other group's."""
+    monkeypatch.setattr(nndescent, "audit", lambda *_: 1.0)  # more rounds and the last resort aside
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v)
+    p, q = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    centres = [p, between * p + np.sqrt(1 - between**2) * q]
+    table = [(1000 * k + i, unit(c + 0.14 * unit(rng.standard_normal(64))).tolist()) for k, c in enumerate(centres) for i in range(size)]
+    table += [(5000 + i, rng.standard_normal(64).tolist()) for i in range(300)]
+    want = brute(table)
+    assert sum(x.endswith(", 0)") for x in want) == 2 * size
+    assert found(spark, table) == want
+
+
 @pytest.mark.parametrize("name", ["op6_nn_descent", "op7_warc_zip", "op8_source_mixing"])
 def test_sql(spark, small, name):
     assert rows(queries()[name](spark, small)) == duck_rows(oracle_sql()[name], small)
