@@ -9,22 +9,29 @@ number of merges; no token identifiers are made.
 case, split by a pattern, byte-level symbols, merges with an end-of-word mark. Counts are per
 stretch without white space, and stretches repeat, so they are kept in a bounded table.
 
-A null text counts as empty: 0 bytes, 0 tokens. Equal texts have equal counts; extra columns of the
-input are ignored.
+Which characters are letters or numbers, and what their lower case is, depends on the version of
+Unicode, so a stretch that is not ASCII is normalised and split by the tokenizers library's own
+parts for that; only the merging is done here.
+
+A null text counts as empty: 0 bytes, 0 tokens. Rows are counted each for itself: repeated rows give
+repeated results, equal texts have equal counts, there are no ties to break, and an empty table gives
+no rows. Texts may be of any length: stretches of a text are counted one after the other. doc_id may be
+of any type and null; further columns of the input are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
+from . import kernels as K
+
 #: Stretches whose counts a worker keeps; beyond that the table is emptied.
 KEPT = 1_000_000
 #: White space to str.split() but not to the tokenizer's patterns.
@@ -83,17 +90,25 @@ class MergeCounter:
             raise ValueError(f"{path}: not a tokenizer of the kind that this counter reads")
         self.ranks = {tuple(x) if not isinstance(x, str) else tuple(x.split(" ")): i for i, x in enumerate(model["merges"])}
         self.suffix = model["end_of_word_suffix"] or ""
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        # for ASCII alone, where these classes are what they have always been
+        self.ascii = re.compile(pattern.replace("\\p{L}", "a-zA-Z").replace("\\p{N}", "0-9").replace("\\s", "\\t-\\r "))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normalise, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         special = [x["content"] for x in spec["added_tokens"]]
-        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.marks = special
         self.symbols = byte_symbols()
         self.kept: dict[str, int] = {}
         self.pieces: dict[str, int] = {}
 
     def piece(self, piece: str) -> int:
+        """Tokens of a piece that is written in byte symbols."""
         if (n := self.pieces.get(piece)) is None:
-            symbols = [self.symbols[b] for b in piece.encode("utf-8", "surrogatepass")]
+            symbols = list(piece)
             symbols[-1] += self.suffix
             n = merged(symbols, self.ranks)
             if len(self.pieces) >= KEPT:
@@ -103,9 +118,12 @@ class MergeCounter:
         return n
 
     def plain(self, text: str) -> int:
-        text = unicodedata.normalize("NFC", text)
-        text = text.lower() if text.isascii() else "".join(c.lower() for c in text)
-        return sum(map(self.piece, self.pattern.findall(text)))
+        if text.isascii():
+            found = self.ascii.findall(text.lower())
+            if not text.isprintable():  # control characters have symbols of their own
+                found = ["".join(self.symbols[ord(c)] for c in x) for x in found]
+            return sum(map(self.piece, found))
+        return sum(self.piece(x) for x, _ in self.split(self.normalise(text)))
 
     def stretch(self, text: str) -> int:
         if self.special is not None and any(m in text for m in self.marks):
@@ -144,11 +162,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
+        names = ["doc_id", "n_bytes", "n_tokens", "over_limit"]
         for b in batches:
-            texts = [x or "" for x in b.column("text").to_pylist()]
-            n = [c.count(x) for x in texts]
-            size = [len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass")) for x in texts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            buf, offs = K.buffers(b.column("text"))
+            size = pa.array(offs[1:] - offs[:-1])
+            for i, j in K.slices(buf, offs):
+                n = [c.count(x) for x in b.column("text").slice(i, j - i).to_pylist()]
+                over = pa.array([x > limit for x in n], pa.bool_())
+                columns = [b.column("doc_id").slice(i, j - i), size.slice(i, j - i), pa.array(n, pa.int64()), over]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
