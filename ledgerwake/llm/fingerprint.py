@@ -8,12 +8,18 @@ for that.
 
 Without a word there is no shingle and the fingerprint is empty ("" in hexadecimal): its likeness is 1 to
 another empty one and 0 to any other. A null text counts as empty. Equal texts have equal fingerprints.
+
+Repeated rows are rows of their own, next to each other in the order; documents of equal id and different texts go by
+the texts' SHA-256. doc_id must be of an integer type (the order is by it) and may be null. The next document of a
+table's only row is that row. An empty table gives no rows. A long text is held whole, with the next one, by one task
+at a time. Further columns of the input are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,28 +87,45 @@ def likeness(a: list[bytes], b: list[bytes], bins: int = BINS, bits: int = BITS)
     return out
 
 
-def splits(docs: DataFrame, part_rows: int = 8_000, least: int = 8, most: int = 20_000) -> list[int]:
-    """Bounds of ranges of doc_id with about part_rows rows each, or more rows where there would be more than ``most`` ranges."""
-    n = docs.count()
+#: Rows of a range, about; and ranges, at most: what the driver holds of them is a few MB. Beyond that many, ranges have more rows.
+PART_ROWS, MOST_PARTS = 8_000, 50_000
+_LEAST = -(1 << 63)
+#: Greater than any hexadecimal digit.
+_END = "g"
+
+
+def splits(docs: DataFrame, part_rows: int = PART_ROWS, least: int = 8, most: int = MOST_PARTS) -> list[tuple[int, str]]:
+    """Bounds (doc_id, digest) of ranges with about part_rows rows each. An id that has the rows of several ranges is parted by
+    the text's digest; null counts as an id."""
+    sums = docs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    n, none = sums["n"], sums["none"]
+    if not n:
+        return []
     parts = min(most, max(least, -(-n // part_rows)))
-    found = docs.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if n else []
-    return sorted({int(x) for x in found})
+    found = docs.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)
+    times = Counter(int(x) for x in found)
+    if none * parts >= n:
+        times[_LEAST] += none * parts // n
+    return sorted((k, f"{(i << 16) // m:04x}" if i < m else _END) for k, m in times.items() for i in range(1, m + 1))
 
 
-def compare_to_next(docs: DataFrame) -> DataFrame:
+def compare_to_next(docs: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Of each document, in the order of descending doc_id (null last; equal ids by a hash of the text), its fingerprint,
     the edited text's (its last floor(n_chars/3) code points replaced by the first as many of the next document's text; after
     the last comes the first), and their likenesses.
 
-    Documents go to ranges of doc_id; the first document of a range goes to the range before as well, so that each task finds
-    every next document in its own rows. Texts are compressed on the way.
+    Documents go to ranges of that order, a task each; the first document of a range goes to the range before as well, so that
+    each task finds every next document in its own rows. Texts are compressed on the way, sorted by spilling, and one after the
+    other decompressed.
     """
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("doc_id must be an integer, as documents are put in its order")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bounds = splits(own)
-    least = -(1 << 63)
+    bounds = splits(own, part_rows)
+    least = _LEAST
 
-    def part_of(doc_id: int) -> int:
-        return len(bounds) - bisect.bisect_left(bounds, doc_id)  # descending
+    def part_of(doc_id: int, digest: str) -> int:
+        return len(bounds) - bisect.bisect_left(bounds, (doc_id, digest))  # descending
 
     key = F.coalesce(F.col("doc_id"), F.lit(least))
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
@@ -111,7 +134,7 @@ def compare_to_next(docs: DataFrame) -> DataFrame:
         best: dict[int, tuple[int, str]] = {}
         for b in batches:
             for k, d in zip(b.column("k").to_pylist(), b.column("d").to_pylist(), strict=True):
-                p = part_of(k)
+                p = part_of(k, d)
                 if p not in best or (k, d) > best[p]:
                     best[p] = (k, d)
         yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([x[0] for x in best.values()], pa.int64()), pa.array([x[1] for x in best.values()])], ["part", "k", "d"])
@@ -125,22 +148,29 @@ def compare_to_next(docs: DataFrame) -> DataFrame:
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
+            for i, j in K.slices(*K.buffers(b.column("text"))):
+                part = b.slice(i, j - i)
                 texts = [(x or "").encode("utf-8", "surrogatepass") for x in part.column("text").to_pylist()]
                 keys, digests = part.column("k").to_pylist(), part.column("d").to_pylist()
                 f = fingerprints(texts)
-                rows = [(part_of(k), False, j) for j, k in enumerate(keys)]
+                rows = [(part_of(k, d), False, j) for j, (k, d) in enumerate(zip(keys, digests, strict=True))]
                 rows += [(before[k, d], True, j) for j, (k, d) in enumerate(zip(keys, digests, strict=True)) if (k, d) in before]
                 at = [j for _, _, j in rows]
                 packed_texts = [z.compress(x) for x in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p for p, _, _ in rows], pa.int32()), pa.array([s for _, s, _ in rows]), pa.array([keys[j] for j in at], pa.int64()), part.column("doc_id").take(pa.array(at)), pa.array([digests[j] for j in at]), pa.array([f[j] for j in at], pa.binary()), pa.array([packed_texts[j] for j in at], pa.binary())],
-                    ["part", "sentinel", "k", "doc_id", "d", "f", "z"],
-                )
+                columns = {
+                    "part": pa.array([p for p, _, _ in rows], pa.int32()),
+                    "sentinel": pa.array([s for _, s, _ in rows]),
+                    "k": pa.array([keys[j] for j in at], pa.int64()),
+                    "doc_id": part.column("doc_id").take(pa.array(at)),
+                    "d": pa.array([digests[j] for j in at]),
+                    "f": pa.array([f[j] for j in at], pa.binary()),
+                    "z": pa.array([packed_texts[j] for j in at], pa.binary()),
+                }
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     sent = own.select(key.alias("k"), "doc_id", digest.alias("d"), "text").mapInArrow(compress, "part int, sentinel boolean, k long, doc_id long, d string, f binary, z binary")
-    dealt = sent.repartition(max(1, len(order)), "part").sortWithinPartitions("part", "sentinel", F.desc("k"), F.desc("d"))
+    # by the number of the range itself, not by its hash: a task has one range
+    dealt = sent.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "sentinel", F.desc("k"), F.desc("d"))
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -149,9 +179,17 @@ def compare_to_next(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             edited = fingerprints([x[2] for x in out])
-            cols = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in out]), pa.array([x[3].hex() for x in out]), pa.array([x.hex() for x in edited]), pa.array(likeness([x[3] for x in out], edited)), pa.array(likeness([x[3] for x in out], [x[4] for x in out]))]
+            columns = {
+                "doc_id": pa.array([x[0] for x in out], pa.int64()),
+                "n_chars": pa.array([x[1] for x in out], pa.int64()),
+                "edited_sha256": pa.array([hashlib.sha256(x[2]).hexdigest() for x in out]),
+                "fingerprint": pa.array([x[3].hex() for x in out]),
+                "edited_fingerprint": pa.array([x.hex() for x in edited]),
+                "near_edited": pa.array(likeness([x[3] for x in out], edited)),
+                "near_next": pa.array(likeness([x[3] for x in out], [x[4] for x in out])),
+            }
             out.clear()
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
         done = None  # the range whose sentinel has been met
         size = 0

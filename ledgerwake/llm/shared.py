@@ -12,10 +12,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary one only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; where it is unset a temporary one, on one machine only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not hasattr(spark, "_shared_tmp"):
         spark._shared_tmp = "file://" + tempfile.mkdtemp(prefix="shared-")
     return spark._shared_tmp

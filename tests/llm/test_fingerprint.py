@@ -50,6 +50,22 @@ def test_order_of_odd_rows(spark, rows):
     assert got == sorted(str((d, len(t), hashlib.sha256(e.encode()).hexdigest())) for d, t, e, _ in by_hand(rows))
 
 
+def test_an_id_with_most_rows_is_parted(spark):
+    rows = [(5, f"text {i} of many that share an id") for i in range(300)] + [(None, f"text {i} without one") for i in range(200)] + [(i, f"other {i}") for i in range(100, 150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len([b for b in P.splits(df, 25) if b[0] == 5]) > 8 and len([b for b in P.splits(df, 25) if b[0] < 0]) > 4
+    got = sorted(str((r["doc_id"], r["n_chars"], r["edited_sha256"])) for r in P.compare_to_next(df, 25).collect())
+    assert got == sorted(str((d, len(t), hashlib.sha256(e.encode()).hexdigest())) for d, t, e, _ in by_hand(rows))
+
+
+def test_long_texts_and_ids_of_other_types(spark):
+    rows = [(1, "word " * 150_000), (2, "x"), (3, "é" * 300_000)]
+    got = sorted(str((r["doc_id"], r["n_chars"], r["edited_sha256"])) for r in P.compare_to_next(spark.createDataFrame(rows, "doc_id int, text string")).collect())
+    assert got == sorted(str((d, len(t), hashlib.sha256(e.encode()).hexdigest())) for d, t, e, _ in by_hand(rows))
+    with pytest.raises(TypeError, match="integer"):
+        P.compare_to_next(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_no_documents(spark):
     assert P.compare_to_next(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
