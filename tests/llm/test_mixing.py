@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +56,56 @@ def test_words_taken(spark, sizes):
     assert words == {s: t for s, (t, _) in got.items() if t}
 
 
+def rates_by_hand(sizes, target, most=3):
+    """Rates nearest to 1 in relative entropy whose words are the target, by bisection over all documents."""
+    low, high = -50.0, 50.0
+    rates = lambda x: [min(most, math.exp(min(x * n, 50))) for n in sizes]
+    for _ in range(200):
+        x = (low + high) / 2
+        low, high = (x, high) if sum(n * r for n, r in zip(sizes, rates(x), strict=True)) < target else (low, x)
+    return rates(x)
+
+
+def test_rates_are_the_tilt_that_meets_the_targets(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * min(40_000, int(rng.paretovariate(0.8)))), "abcdef"[int(rng.random() ** 2 * 6)]) for i in range(1500)]
+    rows += [(9000, "w " * 100_000, "b"), (9001, "w", "zz"), (9002, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    of = {}
+    for r, (d, _, s) in ((got[x[0]], x) for x in rows):
+        if r["size"]:
+            of.setdefault(s, []).append((d, r["size"], r["target"], r["rate"], r["taken"]))
+    assert sum(len({round(x[3], 4) for x in v}) > 5 for v in of.values()) >= 2
+    for v in of.values():
+        sizes, target = [x[1] for x in v], v[0][2]
+        assert [x[3] for x in v] == pytest.approx(rates_by_hand(sizes, target), abs=2e-6)
+        assert sum(x[1] * x[3] for x in v) == pytest.approx(target, rel=2e-6)
+        assert sum(x[4] for x in v) == round(target)
+        # whole copies on both sides of the rate; one document may be cut
+        assert sum(x[4] not in (math.floor(x[3]) * x[1], (math.floor(x[3]) + 1) * x[1]) for x in v) <= 1
+        near = [(x[4] / x[1]) - x[3] for x in v]
+        assert abs(sum(near) / len(near)) < 0.2
+
+
+def test_solver_ends_within_its_bound(spark):
+    rows = [("a", 1, 10**7), ("a", 10**6, 3), ("b", 7, 1), ("c", 1, 1), ("c", 2 * 10**7, 40), ("d", 5, 100)]
+    sizes = spark.createDataFrame(rows, "source string, size long, n long")
+    sources = mixing.targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
+    own = {r["source"]: r for r in mixing.solved(sizes, sources, 3.0).collect()}
+    for s, r in own.items():
+        words = sum(k * n * min(3.0, math.exp(min(r["x"] * n, 50))) for t, n, k in rows if t == s)
+        assert words == pytest.approx(r["target"], rel=1e-6)
+
+
+def test_long_text_clashing_names_and_ids_of_any_type(spark):
+    rows = [("a", "w " * 300_000, "s", 1, "x"), (None, None, None, 2, "y"), ("b", "é ü", "s", 3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string, size int, _x string")
+    got = mixing.mix(docs)
+    assert got.columns == ["doc_id", "text", "source", "_x", "size", "source_size", "target", "rate", "taken"]
+    assert {r["doc_id"]: (r["size"], r["taken"]) for r in got.collect()} == {"a": (300_000, 300_000), None: (0, 0), "b": (2, 2)}
+
+
 def test_salted_join_gives_the_same(spark, small, monkeypatch):
     docs = read(spark, small, "documents").select("doc_id", "source", "text")
     rows = lambda: sorted(map(tuple, mixing.mix(docs).select("doc_id", "taken").collect()))
