@@ -1,10 +1,15 @@
 """MinHash near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
-Shingles are runs of five words (A-Z in lower case; a text of fewer words is one shingle). A shingle's
-weight is 1 + ln(occurrences) times a damped inverse document frequency, from 1 to 1 + ``DAMPING``. The
-logarithm keeps two texts that repeat one line from being alike whatever else they say. Damped, as otherwise a document's own odd shingles would outweigh what it shares with a thousand copies, and
-large groups would fall apart. Document frequencies are counted over all documents in ``BUCKETS`` hashed
-buckets, so the table is of fixed size.
+Shingles are runs of five words (A-Z in lower case; a text of fewer words is one shingle). A shingle's weight is
+(1 + ln(occurrences)) * (1 + DAMPING * idf), idf being ln((n + 1) / documents that have it) / ln(n + 1), from 0 to 1. The
+logarithm keeps two texts that repeat one line from being alike whatever else they say. The inverse document frequency
+is damped, as a document's own odd shingles would else outweigh what it shares with a thousand near copies: the README
+has figures of several dampings.
+
+Document frequencies are counted over all documents in a sketch of ``CELLS`` cells, whatever the corpus: exact as long as
+shingles rarely share a cell; beyond that what the others of a cell add on average is taken off, which leaves an error of
+about the root of that for rare shingles and none to speak of for frequent ones. Weights are the same wherever a shingle
+occurs, so the similarity is a weighted Jaccard similarity in any case.
 
 Each text gets ``BANDS * ROWS`` samples. Texts that share all samples of a band are candidates:
 in a bucket of up to ``SMALL`` different texts all pairs, in a larger one each text with the bucket's least
@@ -15,17 +20,22 @@ pair of its texts that are not yet in one component and may be similar. Pairs wi
 at least 0.8 are links; classes are the components of links. Equal texts are one class from the start: copies
 are never expanded into pairs.
 
-A null text counts as empty; all texts without a word are kept apart unless they are equal. Repeated
-rows are copies of each other. A document's class is the least doc_id in it.
+A null text counts as empty; all texts without a word are kept apart unless they are equal. Repeated rows are copies of
+each other. A document's class is the least doc_id in it, null only where all are; one row of a class is kept, of rows
+that tie for that one, the same for the whole run. doc_id may be of any type that has an order. An empty table gives no rows.
+Long texts are handled in slices. Columns of the input other than doc_id and text are left out by classes(), and kept as
+they are, whatever their names, by deduplicated().
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +44,8 @@ from .components import components
 from .shared import written
 
 WORDS = 5
-BUCKETS = 1 << 18
-DAMPING = 0.1
+CELLS, BLOCKS, FINE = 1 << 22, 64, 6
+DAMPING = 0.5
 BANDS, ROWS = 9, 3
 THRESHOLD = 0.8
 SMALL, RING = 16, 2
@@ -44,33 +54,77 @@ BITS = 1 << 24
 _TABLE = 1 << 14
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(number of documents in each bucket, number of documents)"""
+def _summed(parts: DataFrame) -> DataFrame:
+    """Arrays of counts (block, part, z), summed by block; by part first, so that no task gets a block of every task."""
+
+    def run(t: pa.Table) -> pa.Table:
+        unpack, total = zstandard.ZstdDecompressor(), np.zeros(CELLS // BLOCKS, np.uint64)
+        for z in t["z"]:
+            total += np.frombuffer(unpack.decompress(z.as_py()), np.uint64)
+        out = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
+        return pa.table({"block": t["block"].slice(0, 1), "part": t["part"].slice(0, 1), "z": pa.array([out], pa.binary())})
+
+    kind = "block int, part int, z binary"
+    return parts.groupBy("block", "part").applyInArrow(run, kind).withColumn("part", F.lit(0)).groupBy("block", "part").applyInArrow(run, kind)
+
+
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
+    """(number of documents that have a shingle of each cell, number of documents, sum of the cells)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        n = 0
+        total, n = np.zeros(CELLS, np.uint64), 0
         for b in batches:
             n += b.num_rows
-            for i in range(0, b.num_rows, 2048):
-                s, counts = K.shingles(*K.words(*K.buffers(b.column("text").slice(i, 2048))), WORDS)
-                cell = np.unique(K.doc_of(counts) * BUCKETS + (s % np.uint64(BUCKETS)).astype(np.int64))
-                total += np.bincount(cell % BUCKETS, minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, BUCKETS)), pa.array(np.append(total[at], n))], ["k", "n"])
+            buf, offs = K.buffers(b.column("text"))
+            for i, j in K.slices(buf, offs, 2048):
+                s, counts = K.shingles(*K.words(buf, offs[i : j + 1]), WORDS)
+                np.add.at(total, np.unique(K.doc_of(counts) * CELLS + cell_of(s)) % CELLS, np.uint64(1))
+        pack = zstandard.ZstdCompressor(level=1)
+        blocks = [pack.compress(x.tobytes()) for x in np.split(total, BLOCKS)]
+        own = TaskContext.get().partitionId() % 64
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([own] * BLOCKS, pa.int32()), pa.array(blocks, pa.binary())], ["block", "part", "z"])
+
+    n = docs.count()
+    out = np.zeros(CELLS, np.uint64)
+    rows = _summed(docs.select("text").mapInArrow(run, "block int, part int, z binary")).collect()  # BLOCKS rows, whatever the corpus
+    for r in rows:
+        out[r["block"] * (CELLS // BLOCKS) : (r["block"] + 1) * (CELLS // BLOCKS)] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["z"]), np.uint64)
+    return out, n, int(out.sum())
+
+
+def cell_of(s: np.ndarray) -> np.ndarray:
+    return (s % np.uint64(CELLS)).astype(np.int64)
+
+
+def cell_levels(df: np.ndarray, total: int) -> np.ndarray:
+    """log2 of each cell's frequency in steps of 1 / FINE: a byte a cell. What other shingles of the cell add on average is taken off."""
+    own = np.maximum(df - (total - df.astype(np.float64)) / (CELLS - 1), 1.0)
+    return np.minimum(np.rint(np.log2(own) * FINE), 255).astype(np.uint8)
+
+
+def level_weights(n: int) -> np.ndarray:
+    """The weight of each level: 1 for a shingle that all n documents have, 1 + DAMPING for one that a single document has."""
+    idf = np.maximum(np.log(n + 1.0) - np.arange(256) / FINE * np.log(2), 0.0)
+    return 1 + DAMPING * idf / np.log(n + 1.0) if n else np.ones(256)
+
+
+@dataclass
+class Weights:
+    """Inverse document frequencies of shingles."""
+
+    levels: np.ndarray
+    table: np.ndarray
 
-    rows = docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS + 1 rows at most
-    out = np.zeros(BUCKETS + 1, np.int64)
-    out[rows["k"].to_numpy()] = rows["n"].to_numpy()
-    return out[:-1], int(out[-1])
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        return self.table[self.levels[cell_of(s)]]
 
 
-def bucket_weights(df: np.ndarray, n: int) -> np.ndarray:
-    top = np.log(n + 1.0)
-    return (1 + DAMPING * (np.log((n + 1.0) / (np.maximum(df, 1))) / top if n > 1 else np.zeros(len(df)))).astype(np.float64)
+def weights_of(docs: DataFrame) -> Weights:
+    df, n, total = document_frequencies(docs)
+    return Weights(cell_levels(df, total), level_weights(n))
 
 
-def weighted(buf: np.ndarray, offs: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def weighted(buf: np.ndarray, offs: np.ndarray, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct shingles, their weights, number of them) of each document; sorted by shingle in each."""
     s, counts = K.shingles(*K.words(buf, offs), WORDS)
     doc = K.doc_of(counts)
@@ -79,7 +133,7 @@ def weighted(buf: np.ndarray, offs: np.ndarray, weights: np.ndarray) -> tuple[np
     new = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])]) if len(s) else np.zeros(0, int)
     tf = np.diff(np.append(new, len(s)))
     s = s[new]
-    return s, (1 + np.log(tf)) * weights[(s % np.uint64(BUCKETS)).astype(np.int64)], np.bincount(doc[new], minlength=len(counts))
+    return s, (1 + np.log(tf)) * weights(s), np.bincount(doc[new], minlength=len(counts))
 
 
 def _variates() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,9 +193,10 @@ def text_id() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def signed(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """t (id of the text), doc_id, bands, mass (the shingles' weights together) and z (the compressed text) of each row; of rows with
-    equal texts in a batch only one has the latter three."""
+def signed(docs: DataFrame, weights: Weights) -> DataFrame:
+    """t (id of the text), doc_id, rid (a number of the row's own, whose order means nothing), bands, mass (the shingles' weights
+    together) and z (the compressed text) of each row; of rows with equal texts in a batch only one has the latter three.
+    To be written before it is used: until then rid may change."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
@@ -161,7 +216,9 @@ def signed(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                     keys[x], masses[x], z[x] = h[k] if counts[k] else [], mass[k], pack.compress(lines[k])
                 yield pa.RecordBatch.from_arrays([part.column("t"), part.column("doc_id"), pa.array(keys, pa.list_(pa.int64())), pa.array(masses, pa.float64()), pa.array(z, pa.binary())], ["t", "doc_id", "bands", "mass", "z"])
 
-    return docs.select(text_id().alias("t"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "t long, doc_id long, bands array<long>, mass double, z binary")
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select(text_id().alias("t"), "doc_id", "text").mapInArrow(run, f"t long, doc_id {kind}, bands array<long>, mass double, z binary")
+    return rows.withColumn("rid", F.monotonically_increasing_id())
 
 
 def _shared(members: DataFrame) -> DataFrame:
@@ -203,7 +260,7 @@ def _perhaps(rows: DataFrame, need: DataFrame) -> DataFrame:
     return hit.select(*rows.columns)
 
 
-def _verified(pairs: DataFrame, table: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, table: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """The pairs whose texts have a weighted Jaccard similarity of at least the threshold."""
     pairs = written(pairs, "near-pairs")
     need = written(pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct(), "near-needed")
@@ -229,7 +286,7 @@ def _verified(pairs: DataFrame, table: DataFrame, weights: np.ndarray, threshold
     return written(both.mapInArrow(run, "a long, b long"), "near-links")
 
 
-def _rare(texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+def _rare(texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """t, c, mass, token, rest of texts (t, c, z): the rarest shingles of each, and the mass from each on, in one order for all texts. The
     shingles after them have too little mass for a similar text to share only those."""
 
@@ -241,7 +298,7 @@ def _rare(texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
                 lines = [unpack.decompress(z, max_output_size=1 << 31) if z else b"" for z in part.column("z").to_pylist()]
                 s, w, counts = weighted(*K.of_texts(lines), weights)
                 doc = K.doc_of(counts)
-                order = np.lexsort((s, -weights[(s % np.uint64(BUCKETS)).astype(np.int64)], doc))
+                order = np.lexsort((s, -weights(s), doc))
                 s, w = s[order], w[order]
                 mass = np.bincount(doc, w, len(counts))
                 done = np.cumsum(w) - w
@@ -253,7 +310,7 @@ def _rare(texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
     return texts.mapInArrow(run, "t long, c long, mass double, token long, rest double")
 
 
-def _left(crowd: DataFrame, table: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+def _left(crowd: DataFrame, table: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """Distinct pairs a < b of texts of crowd (key, t, c) in different components c, with every one that has at least the threshold's
     similarity among them: the first shingle that both have, rarest first, is one of both's ``_rare``, and what follows it has the mass
     that the similarity needs. Of a shingle's texts, those of its largest component do not meet each other."""
@@ -277,12 +334,13 @@ def _crowd(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, t (id of the text), class_id (the least doc_id of its class), class_size (rows), kept_t: one row for each row of docs.
-    kept_t is the text that stays of the class: that of class_id."""
-    df, n = document_frequencies(docs)
-    weights = bucket_weights(df, n)
+    """doc_id, t (id of the text), class_id (the least doc_id of its class), class_size (rows), kept (true for one row of each class, one
+    that has class_id): one row for each row of docs."""
+    weights = weights_of(docs)
     table = written(signed(docs, weights), "near-signed")
-    texts = written(table.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("bands", ignorenulls=True).alias("bands"), F.first("mass", ignorenulls=True).alias("mass")), "near-ids")
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    texts = written(table.groupBy("t").agg(F.min(row).alias("row"), F.count(F.lit(1)).alias("rows"), first("bands"), first("mass")), "near-ids")
     buckets = _shared(texts.select("t", "mass", F.explode("bands").alias("key")))
     links = _verified(_pairs(buckets, threshold), table, weights, threshold)
     nodes = written(components(links), "near-classes")
@@ -306,15 +364,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = _verified(_left(_crowd(buckets, nodes), table, weights, threshold), table, weights, threshold)
     if not found.isEmpty():
         nodes = written(components(links.unionByName(found)), "near-classes")
-    own = texts.join(nodes, F.col("t") == F.col("node"), "left").select("t", "doc_id", "rows", F.coalesce("component", "t").alias("c"))
-    best = own.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("best"), F.sum("rows").alias("class_size"))
-    of_text = own.join(best, "c").select("t", F.col("best.doc_id").alias("class_id"), F.col("best.t").alias("kept_t"), "class_size")
-    return table.select("doc_id", "t").join(written(of_text, "near-texts-classes"), "t").select("doc_id", "t", "class_id", "class_size", "kept_t")
+    own = texts.join(nodes, F.col("t") == F.col("node"), "left").select("t", "row", "rows", F.coalesce("component", "t").alias("c"))
+    best = own.groupBy("c").agg(F.min("row").alias("best"), F.sum("rows").alias("class_size"))
+    of_text = own.join(best, "c").select("t", F.col("best.doc_id").alias("class_id"), F.col("best.rid").alias("kept_rid"), "class_size")
+    rows = table.select("doc_id", "t", "rid").join(written(of_text, "near-texts-classes"), "t")
+    return rows.select("doc_id", "t", "class_id", "class_size", (F.col("rid") == F.col("kept_rid")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that stay: one of each class, that with the class's least doc_id."""
-    kept = classes(docs, threshold).where("t = kept_t and doc_id <=> class_id").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct()
-    rows = docs.withColumn("_t", text_id()).withColumn("_d", F.col("doc_id").cast("long"))
+    """The rows of docs that stay: one of each class, that with the class's least doc_id. Of rows that have the same id and text that with
+    the least hash of all its columns (maps aside) stays."""
+    kept = classes(docs, threshold).where("kept").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = F.xxhash64(*(F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")))
+    rows = docs.select(text_id().alias("_t"), F.col("doc_id").alias("_d"), hashed.alias("_h"), F.struct(*own).alias("_row"))
     both = rows.join(kept, rows["_t"].eqNullSafe(kept["_t"]) & rows["_d"].eqNullSafe(kept["_d"]), "left_semi")
-    return both.dropDuplicates(["_t", "_d"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return both.groupBy("_t", "_d").agg(F.min_by("_row", "_h").alias("_row")).select("_row.*")

@@ -58,8 +58,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neardup.classes(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "class_size", F.expr("t = kept_t and doc_id <=> class_id").alias("kept"))
+    return neardup.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +80,23 @@ _OP7 = """SELECT page_id, payload_bytes, array_to_string(list_transform(range(32
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first,
     array_to_string(list_transform(range(40), lambda j: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (instr('0123456789abcdef', substr(sha1(coalesce(html, '')), j + 1, 1)) - 1) + 1, 4)), '') AS bits FROM pages)"""
 
-_OP8 = """WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
-  s AS (SELECT source, sum(size) AS n, CAST(1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS DOUBLE) AS w FROM d GROUP BY source),
-  l AS (SELECT *, (sum(n) OVER () - coalesce(sum(n * 3) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level FROM s WINDOW before AS (ORDER BY n / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+_OP8 = """WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, CAST(1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS DOUBLE) AS w FROM d GROUP BY source),
+  l AS (SELECT *, (sum(n) OVER () - coalesce(sum(n * 3) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+    FROM s WINDOW before AS (ORDER BY n / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   t AS (SELECT source, n, CAST(coalesce(least((SELECT arg_min(level, n / w) FROM l WHERE level * w <= n * 3) * w, n * 3), n * 3) AS DOUBLE) AS target FROM l),
-  p AS (SELECT d.*, t.n, t.target, CAST(round(t.target) AS BIGINT) AS goal, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, target, CAST(CASE WHEN n = 0 THEN 0 ELSE (goal // n) * size + greatest(0, least(size, goal % n - before)) END AS BIGINT) AS taken FROM p"""
+  sizes AS (SELECT source, size, count(*) AS k FROM d WHERE size > 0 GROUP BY ALL),
+  halves(step, source, target, low, high) AS (
+    SELECT 0, source, target, least(ln(target / n), 0), CASE WHEN target > n THEN ln(3) ELSE 0 END FROM t WHERE n > 0 UNION ALL
+    SELECT step + 1, source, target, CASE WHEN words < target THEN (low + high) / 2 ELSE low END, CASE WHEN words < target THEN high ELSE (low + high) / 2 END FROM (
+      SELECT a.step, a.source, a.target, a.low, a.high, sum(z.k * z.size * exp(least((a.low + a.high) / 2 * z.size, ln(3)))) AS words
+      FROM halves a JOIN sizes z ON z.source IS NOT DISTINCT FROM a.source WHERE a.step < 70 GROUP BY ALL)),
+  r AS (SELECT d.*, t.n, t.target, CASE WHEN d.size > 0 THEN least(CAST(floor(exp(least((x.low + x.high) / 2 * d.size, ln(3))) * 1048576 + CAST(0.5 AS DOUBLE)) AS BIGINT), 3 * 1048576) ELSE 0 END AS grain
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN halves x ON x.step = 70 AND x.source IS NOT DISTINCT FROM d.source),
+  v AS (SELECT *, grain // 1048576 * size AS whole, CASE WHEN grain < 3 * 1048576 THEN size ELSE 0 END AS free, h // 1048576 - grain % 1048576 * 1048576 AS v FROM r),
+  p AS (SELECT *, CAST(round(target) AS BIGINT) - sum(whole) OVER (PARTITION BY source) - coalesce(sum(free) OVER (PARTITION BY source ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS missing FROM v)
+SELECT doc_id, size, n AS source_size, target, CAST(whole + greatest(0, least(free, missing)) AS BIGINT) AS taken FROM p"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,21 +1,48 @@
+import collections
+import math
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerwake.llm import kernels as K
 from ledgerwake.llm import neardup as N
 from ledgerwake.llm.tables import read
 
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def weighted_sets(texts):
+    """Shingle -> weight of each text, by the formulas alone: nothing of the operator's is used."""
+    sets = []
+    for t in texts:
+        words = [w.translate(LOWER) for w in re.split("[\\x20\\x09-\\x0d]+", t or "") if w]
+        runs = [tuple(words[i : i + 5]) for i in range(len(words) - 4)] or ([tuple(words)] if words else [])
+        sets.append(collections.Counter(runs))
+    df = collections.Counter(x for s in sets for x in s)
+    n = len(sets)
+    idf = {x: 1 + N.DAMPING * math.log((n + 1) / k) / math.log(n + 1) for x, k in df.items()}
+    return [{x: (1 + math.log(k)) * idf[x] for x, k in s.items()} for s in sets]
+
+
+def jaccard(a, b):
+    both = sum(min(w, b[x]) for x, w in a.items() if x in b)
+    return both / (sum(a.values()) + sum(b.values()) - both)
+
 
 def brute(spark, rows, threshold=0.8):
-    """Class of each row by comparing all different texts."""
+    """Class of each row by comparing all different texts that a similarity of the threshold is possible for."""
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    w = N.bucket_weights(*N.document_frequencies(docs))
-    texts = sorted({t or "" for _, t in rows})
-    s, weights, counts = N.weighted(*K.of_texts(texts), w)
-    end = np.cumsum(counts)
-    span = [(s[e - c : e], weights[e - c : e]) for c, e in zip(counts, end, strict=True)]
+    sets = weighted_sets([t for _, t in rows])
+    own = {t or "": s for (_, t), s in zip(rows, sets, strict=True)}
+    texts = sorted(own)
+    span = [own[t] for t in texts]
+    mass = [sum(s.values()) for s in span]
+    having = collections.defaultdict(list)
+    for i, s in enumerate(span):
+        for x in s:
+            having[x].append(i)
     group = list(range(len(texts)))
 
     def top(i):
@@ -23,10 +50,9 @@ def brute(spark, rows, threshold=0.8):
             i = group[i]
         return i
 
-    sets = [set(x[0].tolist()) for x in span]
-    for i in range(len(texts)):
-        for j in range(i):
-            if top(i) != top(j) and len(sets[i] & sets[j]) > 0.5 * min(len(sets[i]), len(sets[j])) and N.similarity(span[i], span[j]) >= threshold:
+    for i, s in enumerate(span):
+        for j in {j for x in s for j in having[x] if j < i}:
+            if top(i) != top(j) and min(mass[i], mass[j]) >= threshold * max(mass[i], mass[j]) and jaccard(s, span[j]) >= threshold:
                 group[top(i)] = top(j)
     at = {t: i for i, t in enumerate(texts)}
     least = {}
@@ -71,8 +97,8 @@ def test_pairs_in_a_bucket_that_is_another_groups(spark):
     passage = words(380)
     rows = [(k, f"{passage} {words(73)}") for k in range(1, 21)]
     for k in range(60):
-        own = words(27)
-        rows += [(100 + 2 * k + i, f"{passage} {own} {words(43)}") for i in (0, 1)]
+        own = words(60)
+        rows += [(100 + 2 * k + i, f"{passage} {own} {words(14)}") for i in (0, 1)]
     group = words(70).split()
     for k in range(60):
         t = list(group)
@@ -92,6 +118,27 @@ def test_odd_rows(spark):
     assert N.classes(docs.limit(0)).count() == 0 and N.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_class_is_kept(spark):
+    rows = [("b", "one two", 1), ("b", "one two", 2), ("b", "one two", 2), ("c", "one two", 3), ("d", "three", 4), (None, "four", 5), (None, "four", 6)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, rid int")
+    got = N.classes(docs).collect()
+    assert sorted((str(r["class_id"]), r["class_size"]) for r in got if r["kept"]) == [("None", 2), ("b", 4), ("d", 1)] and len(got) == 7
+    once = sorted(map(str, N.deduplicated(docs).collect()))
+    assert len(once) == 3 and once == sorted(map(str, N.deduplicated(docs.orderBy(F.desc("rid")).repartition(3)).collect()))
+    wide = docs.withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    assert N.deduplicated(wide).count() == 3
+
+
+def test_document_frequencies(spark):
+    rows = [(k, f"a b c d e x{k} y{k} z{k} v{k} w{k}") for k in range(40)] + [(99, None)]
+    df, n, total = N.document_frequencies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert n == 41 and total == 40 * 6 and df.max() == 40
+    w = N.weights_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    s, own, counts = N.weighted(*N.K.of_texts([rows[0][1]]), w)
+    assert counts.tolist() == [6] and own.max() == pytest.approx(1 + N.DAMPING, abs=0.01) and own.min() == pytest.approx(1 + N.DAMPING * math.log(42 / 40) / math.log(42), abs=0.02)
+    assert N.level_weights(0).tolist() == [1.0] * 256
+
+
 def test_samples_collide_as_often_as_the_weighted_similarity():
     rng = np.random.default_rng(2)
     s = np.sort(rng.integers(1, 1 << 62, 400).astype(np.uint64))
