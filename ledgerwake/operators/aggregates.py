@@ -5,10 +5,10 @@ Each is one scan with conditional aggregates; partial aggregation happens before
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import EPS, count_all, is_night, iso_weekday, nunique, nunique_few, ratio, sum_if, zsum
+from ..functions import EPS, count_all, is_night, iso_weekday, nunique, ratio, sum_if, zsum
 
 
 def of_accounts(txns: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -16,25 +16,36 @@ def of_accounts(txns: DataFrame, accounts: DataFrame) -> DataFrame:
     return txns.join(accounts.select("account_id").distinct(), "account_id", "left_semi")
 
 
+def _by_values(txns: DataFrame, keys: list[str], sums: dict[str, Column], lows: dict[str, Column] | None = None, highs: dict[str, Column] | None = None) -> DataFrame:
+    """account_id, sums, minima, maxima, and n_<key>, the number of different values (null is one) of each key.
+
+    Aggregated by account and keys first, so that the distinct counts multiply only what that leaves of the rows.
+    """
+    lows, highs = lows or {}, highs or {}
+    per = txns.groupBy("account_id", *keys).agg(*(x.alias(c) for c, x in (sums | lows | highs).items()))
+    merged = [F.sum(c).alias(c) for c in sums] + [F.min(c).alias(c) for c in lows] + [F.max(c).alias(c) for c in highs]
+    return per.groupBy("account_id").agg(*merged, *(nunique(k).alias(f"n_{k}") for k in keys))
+
+
 def txn_basic(txns: DataFrame) -> DataFrame:
-    size = F.abs("amount")
-    a = txns.groupBy("account_id").agg(
-        zsum(size).alias("total_volume"), zsum(size * size).alias("sum_sq_amount"), count_all().alias("total_txns"),
-        F.max(size).alias("max_txn_amount"), F.min(size).alias("min_txn_amount"), F.count_if(F.col("amount") < 0).alias("reversal_count"),
-        F.count_if(F.col("txn_type") == "C").alias("credit_count"), F.count_if(F.col("txn_type") == "D").alias("debit_count"),
-        sum_if(F.col("txn_type") == "C", size).alias("credit_volume"), sum_if(F.col("txn_type") == "D", size).alias("debit_volume"),
-        nunique_few("channel").alias("n_channels"), nunique("counterparty_id").alias("n_counterparties"),
-    )
+    size, credit, debit = F.abs("amount"), F.col("txn_type") == "C", F.col("txn_type") == "D"
+    sums = {
+        "total_volume": zsum(size), "sum_sq_amount": zsum(size * size), "total_txns": count_all(), "reversal_count": F.count_if(F.col("amount") < 0),
+        "credit_count": F.count_if(credit), "debit_count": F.count_if(debit), "credit_volume": sum_if(credit, size), "debit_volume": sum_if(debit, size),
+    }
+    a = _by_values(txns, ["channel", "counterparty_id"], sums, {"min_txn_amount": F.min(size)}, {"max_txn_amount": F.max(size)})
+    a = a.withColumnsRenamed({"n_channel": "n_channels", "n_counterparty_id": "n_counterparties"})
     mean = F.col("total_volume") / F.col("total_txns")
     return a.select(
         "*", mean.alias("avg_txn_amount"), (F.col("reversal_count") / F.col("total_txns")).alias("reversal_ratio"),
-        (F.col("credit_volume") / (F.col("credit_volume") + F.col("debit_volume") + EPS)).alias("credit_debit_ratio"), (F.col("max_txn_amount") / (mean + EPS)).alias("max_to_avg_ratio"),
+        (F.col("credit_volume") / (F.col("credit_volume") + F.col("debit_volume") + EPS)).alias("credit_debit_ratio"),
+        (F.col("max_txn_amount") / (mean + EPS)).alias("max_to_avg_ratio"),
     )
 
 
-def with_additional(txns: DataFrame, additional: DataFrame) -> DataFrame:
-    """One join on transaction_id of all parts; a part is not joined to all parts of its batch."""
-    return txns.select("transaction_id", "account_id").join(additional, "transaction_id")
+def with_additional(txns: DataFrame, additional: DataFrame, more: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """One join on transaction_id of all parts; a part is not joined to all parts of its batch. more: further columns of txns to keep."""
+    return txns.select("transaction_id", "account_id", *more).join(additional, "transaction_id")
 
 
 def balances(joined: DataFrame) -> DataFrame:
@@ -69,7 +80,8 @@ def additional_features(joined: DataFrame) -> DataFrame:
 
 def sub_types(joined: DataFrame, accounts: DataFrame) -> DataFrame:
     special = F.col("transaction_sub_type") != "normal"
-    a = joined.groupBy("account_id").agg(count_all().alias("n"), nunique_few("transaction_sub_type").alias("n_sub_types"), nunique_few("part_transaction_type").alias("n_part_types"), F.count_if(special).alias("special_txn_cnt"))
+    a = _by_values(joined, ["transaction_sub_type", "part_transaction_type"], {"n": count_all(), "special_txn_cnt": F.count_if(special)})
+    a = a.withColumnsRenamed({"n_transaction_sub_type": "n_sub_types", "n_part_transaction_type": "n_part_types"})
     a = a.withColumn("special_txn_ratio", ratio("special_txn_cnt", "n", 1)).drop("n")
     return _all_accounts(accounts, a)
 
@@ -135,7 +147,7 @@ def temporal_patterns(txns: DataFrame) -> DataFrame:
     size = F.abs("amount")
     a = txns.groupBy("account_id").agg(
         count_all().alias("n_txns"), F.count_if(is_night("ts")).alias("night_txn_count"), F.count_if(iso_weekday("ts") >= 5).alias("weekend_txn_count"), F.count_if(size % 1000 == 0).alias("round_1k_count"),
-        F.count_if((size >= 45000) & (size < 50000)).alias("structuring_count"), nunique_few("mcc_code").alias("n_mcc_codes"),
+        F.count_if((size >= 45000) & (size < 50000)).alias("structuring_count"), nunique("mcc_code").alias("n_mcc_codes"),
     )
     return a.select("*", *(ratio(f"{k}_count", "n_txns").alias(f"{k}_ratio") for k in ("night_txn", "weekend_txn", "round_1k")))
 
@@ -154,11 +166,18 @@ def graph_degree(txns: DataFrame) -> DataFrame:
 def graph_labels(txns: DataFrame, labels: DataFrame) -> DataFrame:
     """What an account exchanges with accounts labelled 1, as sender and as receiver."""
     mules = labels.where("is_mule = 1").select("account_id")
-    e = txns.where(F.col("counterparty_id").isNotNull()).select("account_id", "counterparty_id", "amount")
-    e = e.join(mules.select("account_id", F.lit(1).alias("am")), "account_id", "left").join(mules.select(F.col("account_id").alias("counterparty_id"), F.lit(1).alias("cm")), "counterparty_id", "left")
-    side = lambda key, flag, name: e.groupBy(F.col(key).alias("account_id")).agg(zsum("amount").alias(f"vol_{name}"), count_all().alias(f"txn_{name}"), sum_if(F.col(flag) == 1, "amount").alias(f"vol_{name}_mule"), F.count(flag).alias(f"txn_{name}_mule"))
-    pairs = e.where("cm = 1").select("account_id", F.col("counterparty_id").alias("other")).unionByName(e.where("am = 1").select(F.col("counterparty_id").alias("account_id"), F.col("account_id").alias("other"))).distinct()
-    n = pairs.groupBy("account_id").agg(count_all().alias("n_mule_counterparties"))
+    # by pair of accounts first: all that follows is over pairs, which are far fewer than transactions
+    e = txns.where(F.col("counterparty_id").isNotNull()).groupBy("account_id", "counterparty_id").agg(F.sum("amount").alias("v"), count_all().alias("n"))
+    of = lambda key, flag: mules.select(F.col("account_id").alias(key), F.lit(1).alias(flag))
+    e = e.join(of("account_id", "am"), "account_id", "left").join(of("counterparty_id", "cm"), "counterparty_id", "left")
+
+    def side(key: str, flag: str, name: str) -> DataFrame:
+        hit = F.col(flag) == 1
+        totals = [zsum("v").alias(f"vol_{name}"), F.sum("n").alias(f"txn_{name}"), sum_if(hit, "v").alias(f"vol_{name}_mule"), F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias(f"txn_{name}_mule")]
+        return e.groupBy(F.col(key).alias("account_id")).agg(*totals)
+
+    sent, received = e.where("cm = 1").select("account_id", F.col("counterparty_id").alias("other")), e.where("am = 1").select(F.col("counterparty_id").alias("account_id"), F.col("account_id").alias("other"))
+    n = sent.unionByName(received).distinct().groupBy("account_id").agg(count_all().alias("n_mule_counterparties"))
     a = side("account_id", "cm", "sent").join(side("counterparty_id", "am", "recv"), "account_id", "full").join(n, "account_id", "left")
     a = a.select("account_id", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in a.columns if c != "account_id"))
     both = lambda k, m: F.col(f"{k}_sent{m}") + F.col(f"{k}_recv{m}")
@@ -180,7 +199,8 @@ def ego_network(txns: DataFrame, centre: str, scores: DataFrame, k: int = 10, ri
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    return df.groupBy(column).agg(count_all().alias("count"))
+    """A row a value, the most frequent first; equal counts by value."""
+    return df.groupBy(column).agg(count_all().alias("count")).orderBy(F.desc("count"), F.asc_nulls_last(column))
 
 
 def null_counts(df: DataFrame) -> DataFrame:

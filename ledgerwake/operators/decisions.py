@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import count_all
+from ..functions import clean_number, count_all
+from ..staging import written
 
 #: The share of flagged accounts that thresholds are anchored to.
 PRIOR = 0.027915
@@ -31,39 +32,65 @@ def prob_blend(scores: DataFrame, names: list[str]) -> DataFrame:
 RANGES = 64
 
 
-def with_before(per: DataFrame, value: str, count: str) -> DataFrame:
-    """``per`` (a row a value, with a count) with _before, the counts of all lower values, and _total.
+def with_before(per: DataFrame, value: str, count: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``per`` (a row a value, with a count; for each ``by``) with _before, the counts of all lower values, and _total.
 
-    Values are parted by rough quantiles, summed by range, and ranked within ranges at once, so that no task sorts all of them.
+    Values are parted by rough quantiles, summed by range, and ranked within ranges at once, so that no task sorts all of them. The
+    quantiles are an aggregate of the same plan: a row of RANGES numbers for each ``by``.
     """
-    cuts = sorted(set(per.approxQuantile(value, [i / RANGES for i in range(1, RANGES)], 0.25 / RANGES)))
-    of = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda x: x < F.col(value))) if cuts else F.lit(0)
-    parted = per.withColumn("_range", of)
-    sums = parted.groupBy("_range").agg(F.sum(count).alias("_s"))  # RANGES rows
-    up = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    lower = sums.select("_range", F.coalesce(F.sum("_s").over(up), F.lit(0)).alias("_lower"), F.sum("_s").over(Window.partitionBy()).alias("_total"))
-    within = F.sum(count).over(Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    return parted.join(F.broadcast(lower), "_range").withColumn("_before", F.col("_lower") + F.coalesce(within, F.lit(0))).drop("_range", "_lower")
+    by = list(by)
+    cuts = F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 4 * RANGES).alias("_cuts")
+    # broadcast: as many rows as there are kinds of values, one where there is no ``by``
+    parted = per.join(F.broadcast(per.groupBy(*by).agg(cuts)), by) if by else per.crossJoin(F.broadcast(per.agg(cuts)))
+    of = F.coalesce(F.size(F.filter("_cuts", lambda x: x < F.col(value))), F.lit(0))
+    parted = parted.withColumn("_range", of).drop("_cuts")
+    sums = parted.groupBy(*by, "_range").agg(F.sum(count).alias("_s"))  # RANGES rows for each
+    every = Window.partitionBy(*by)
+    up = every.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    lower = sums.select(*by, "_range", F.coalesce(F.sum("_s").over(up), F.lit(0)).alias("_lower"), F.sum("_s").over(every).alias("_total"))
+    within = F.sum(count).over(Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = parted.join(F.broadcast(lower), [*by, "_range"]).withColumn("_before", F.col("_lower") + F.coalesce(within, F.lit(0)))
+    return ranked.drop("_range", "_lower")
+
+
+def ranks(scores: DataFrame, names: dict[str, str]) -> DataFrame:
+    """scores with the average rank / n of each of some columns, under the names given. All columns are ranked in one pass."""
+    long = scores.select(F.explode(F.array(*(F.struct(F.lit(c).alias("_of"), F.col(c).cast("double").alias("_v")) for c in names))).alias("_x")).select("_x.*")
+    per = with_before(long.groupBy("_of", "_v").agg(count_all().alias("_c")), "_v", "_c", ("_of",))
+    per = per.select("_of", "_v", ((F.col("_before") + (F.col("_c") + 1) / 2) / F.col("_total")).alias("_rank"))
+    for c, to in names.items():
+        scores = scores.join(per.where(F.col("_of") == c).select(F.col("_v").alias(c), F.col("_rank").alias(to)), c)
+    return scores
 
 
 def rank_share(scores: DataFrame, name: str, to: str) -> DataFrame:
     """Average rank / n."""
-    per = with_before(scores.groupBy(name).agg(count_all().alias("_c")), name, "_c")
-    return scores.join(per.select(name, ((F.col("_before") + (F.col("_c") + 1) / 2) / F.col("_total")).alias(to)), name)
+    return ranks(scores, {name: to})
 
 
 def rank_blend(scores: DataFrame, names: list[str]) -> DataFrame:
-    for n in names:
-        scores = rank_share(scores, n, f"rank_{n}")
-    return scores.withColumn("rank_blend", reduce(lambda a, b: a + b, (F.col(f"rank_{n}") for n in names)) / len(names))
-
-
-def auc(scored: DataFrame, score: str = "score", label: str = "is_mule") -> DataFrame:
-    """One row: the area under the ROC curve, by ranks with ties averaged."""
-    per = scored.groupBy(score).agg(F.sum(F.col(label)).alias("p"), count_all().alias("c"))
-    r = with_before(per, score, "c").select("p", "c", (F.col("_before") + (F.col("c") + 1) / 2).alias("rank"))
+    ranked = ranks(scores, {n: f"rank_{n}" for n in names})
+    return ranked.withColumn("rank_blend", reduce(lambda a, b: a + b, (F.col(f"rank_{n}") for n in names)) / len(names))
+
+
+def percentiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: the values that these shares of all values are below, interpolated, under the names given; exact, and by ranges."""
+    per = with_before(df.where(F.col(value).isNotNull()).groupBy(value).agg(count_all().alias("_c")), value, "_c")
+    out = []
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("_total") - 1)
+        has = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_c"))
+        low, high = F.max(F.when(has(F.floor(at)), F.col(value))), F.max(F.when(has(F.ceil(at)), F.col(value)))
+        out.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return per.agg(*out)
+
+
+def auc(scored: DataFrame, score: str = "score", label: str = "is_mule", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each ``by``): the area under the ROC curve, by ranks with ties averaged."""
+    per = scored.groupBy(*by, score).agg(F.sum(F.col(label)).alias("p"), count_all().alias("c"))
+    r = with_before(per, score, "c", by).select(*by, "p", "c", (F.col("_before") + (F.col("c") + 1) / 2).alias("rank"))
     n1, n0 = F.sum("p"), F.sum(F.col("c") - F.col("p"))
-    return r.agg(((F.sum(F.col("p") * F.col("rank")) - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0))).alias("auc"))
+    return r.groupBy(*by).agg(((F.sum(F.col("p") * F.col("rank")) - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0))).alias("auc"))
 
 
 def f1_threshold(scored: DataFrame, points: int = 1001, low: float = 0.0, high: float = 1.0) -> DataFrame:
@@ -88,7 +115,7 @@ def f1_threshold(scored: DataFrame, points: int = 1001, low: float = 0.0, high:
 
 def prior_threshold(scored: DataFrame, prior: float = PRIOR) -> DataFrame:
     """One row: the score that a share of ``prior`` reaches, interpolated."""
-    return scored.agg(F.percentile("score", 1 - prior).alias("threshold"))
+    return percentiles(scored, "score", {"threshold": 1 - prior})
 
 
 def flagged(scored: DataFrame, prior: float = PRIOR) -> DataFrame:
@@ -97,31 +124,42 @@ def flagged(scored: DataFrame, prior: float = PRIOR) -> DataFrame:
 
 def pseudo_labels(scored: DataFrame, high: float = 0.995, low: float = 0.10) -> DataFrame:
     """account_id, is_mule of the scores' two ends."""
-    t = scored.agg(F.percentile("score", high).alias("hi"), F.percentile("score", low).alias("lo"))
-    s = scored.crossJoin(F.broadcast(t))
+    s = scored.crossJoin(F.broadcast(percentiles(scored, "score", {"hi": high, "lo": low})))  # one row
     return s.where("score >= hi or score <= lo").select("account_id", (F.col("score") >= F.col("hi")).cast("int").alias("is_mule"))
 
 
 def displacement(scores: DataFrame, a: str, b: str) -> DataFrame:
     """One row: how far two scores' ranks are apart, and Spearman's correlation."""
-    r = rank_share(rank_share(scores, a, "ra"), b, "rb")
+    r = ranks(scores, {a: "ra", b: "rb"})
     d = F.abs(F.col("ra") - F.col("rb"))
     return r.agg(F.avg(d).alias("mean_shift"), F.max(d).alias("max_shift"), F.count_if(d > 0.05).alias("over_5pct"), F.count_if(d > 0.10).alias("over_10pct"), F.corr("ra", "rb").alias("spearman"))
 
 
-def best_blend(scored: DataFrame, names: list[str], weights: list[float]) -> DataFrame:
-    """One row: of two scores' weighted means and of their rank mean, the one with the highest AUC (the first of equal ones)."""
+#: Weights of the first score that a search tries.
+WEIGHTS = [i / 20 for i in range(21)]
+
+
+def best_blend(scored: DataFrame, names: list[str], weights: list[float] = WEIGHTS) -> DataFrame:
+    """One row: of two scores' weighted means, their rank mean, their geometric mean and the higher of both, the one with the highest AUC (the
+    first of equal ones). All are ranked in one pass."""
     a, b = names
+    x, y = F.col(a), F.col(b)
     ranked = rank_blend(scored, names)
-    rows = [auc(scored.withColumn("s", w * F.col(a) + (1 - w) * F.col(b)), "s").withColumn("strategy", F.lit(f"mean {w:.2f}")).withColumn("k", F.lit(i)) for i, w in enumerate(weights)]
-    rows.append(auc(ranked, "rank_blend").withColumn("strategy", F.lit("rank")).withColumn("k", F.lit(len(weights))))
-    return reduce(DataFrame.unionByName, rows).orderBy(F.desc(F.round("auc", 12)), "k").limit(1).select("strategy", "auc")
+    arms = [(f"mean {w:.2f}", w * x + (1 - w) * y) for w in weights]
+    arms += [("rank", F.col("rank_blend")), ("geometric", F.sqrt(x * y)), ("highest", F.greatest(x, y))]
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(n).alias("strategy"), e.cast("double").alias("score")) for k, (n, e) in enumerate(arms))))
+    found = auc(ranked.select("is_mule", rows.alias("x")).select("is_mule", "x.*"), by=("k", "strategy"))
+    return found.orderBy(F.desc(F.round("auc", 12)), "k").limit(1).select("strategy", "auc")
+
+
+def gate(scored: DataFrame, least: float) -> DataFrame:
+    """One row: the scores' AUC, and whether it is above what there was before."""
+    return auc(scored).select("auc", F.coalesce(F.col("auc") > least, F.lit(False)).alias("passes"))
 
 
 def passes_gate(scored: DataFrame, least: float) -> bool:
-    """Whether the scores' AUC is above what there was before; the caller stops otherwise."""
-    found = auc(scored).first()["auc"]
-    return found is not None and found > least
+    """Whether the scores pass the gate; the caller stops otherwise."""
+    return gate(scored, least).first()["passes"]
 
 
 def submission(scores: DataFrame, windows: DataFrame) -> DataFrame:
@@ -131,38 +169,83 @@ def submission(scores: DataFrame, windows: DataFrame) -> DataFrame:
     return j.select("account_id", F.col("score").alias("is_mule"), text("suspicious_start").alias("suspicious_start"), text("suspicious_end").alias("suspicious_end"))
 
 
+def row_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: the rows of a and of b, and whether they are as many."""
+    n, m = a.agg(count_all().alias("n")), b.agg(count_all().alias("expected"))
+    return n.crossJoin(F.broadcast(m)).select("n", "expected", (F.col("n") == F.col("expected")).alias("same"))
+
+
 def same_length(a: DataFrame, b: DataFrame) -> None:
-    if (n := a.count()) != (m := b.count()):
-        raise ValueError(f"{n} rows, but {m} are expected")
+    r = row_counts(a, b).first()
+    if not r["same"]:
+        raise ValueError(f"{r['n']} rows, but {r['expected']} are expected")
 
 
 def sampled(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows by a hash of the key: the same ones in every run."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """n rows by a hash of the key: the same ones in every run and engine."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f" {seed}")).cast("binary")), key).limit(n)
 
 
-def gbt_out_of_fold(matrix: DataFrame, columns: list[str], k: int = 5, trees: int = 20, depth: int = 4) -> tuple[DataFrame, list]:
-    """account_id, fold, is_mule, score for train rows (matrix: account_id, is_mule, fold, weight and columns), and the k models.
+#: What an infinite number becomes for training.
+LARGEST = 3.4e38
 
-    Gradient-boosted trees on all executors, one model a fold; classes are balanced by weight.
-    """
-    from pyspark.ml.classification import GBTClassifier
+
+def assembled(matrix: DataFrame, columns: list[str], *keep: str) -> DataFrame:
+    """keep, and the columns as one vector of clean numbers: null and NaN are 0, infinite ones the largest there are."""
     from pyspark.ml.feature import VectorAssembler
+
+    clean = matrix.select(*keep, *(clean_number(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), LARGEST).alias(c) for c in columns))
+    return VectorAssembler(inputCols=columns, outputCol="features").transform(clean).select(*keep, "features")
+
+
+def learners(trees: int = 20, depth: int = 4) -> dict:
+    """Boosted trees, and a forest of deeper ones that see a part of the columns each."""
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+
+    common = {"labelCol": "is_mule", "weightCol": "w", "seed": 42}
+    forest = RandomForestClassifier(**common, numTrees=2 * trees, maxDepth=depth + 2, subsamplingRate=0.7, featureSubsetStrategy="0.6")
+    return {"gbt": GBTClassifier(**common, maxIter=trees, maxDepth=depth), "forest": forest}
+
+
+def scored_by(models: dict, rows: DataFrame) -> DataFrame:
+    """rows (with features) with score_<name> of each model and their mean as score."""
     from pyspark.ml.functions import vector_to_array
 
+    for name, m in models.items():
+        rows = m.transform(rows).withColumn(f"score_{name}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+    mean = reduce(lambda a, b: a + b, (F.col(f"score_{n}") for n in models)) / len(models)
+    return rows.drop("features").withColumn("score", mean)
+
+
+def out_of_fold(matrix: DataFrame, columns: list[str], k: int = 5, trees: int = 20, depth: int = 4) -> tuple[DataFrame, list[dict]]:
+    """account_id, fold, is_mule, score_gbt, score_forest, score (their mean) for train rows (matrix: account_id, is_mule, fold, weight and
+    columns), and the models of each fold, by name.
+
+    Trees are grown on all executors, two models a fold; classes are balanced by weight. The rows are read from a written table.
+    """
     counts = matrix.agg(F.count_if(F.col("is_mule") == 0).alias("n"), F.count_if(F.col("is_mule") == 1).alias("p")).first()
     scale = counts["n"] / max(1, counts["p"])
-    clean = matrix.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in columns})
-    ready = VectorAssembler(inputCols=columns, outputCol="features").transform(clean).withColumn("w", F.col("weight") * F.when(F.col("is_mule") == 1, scale).otherwise(1.0)).select("account_id", "is_mule", "fold", "w", "features").persist()
+    weighted = matrix.withColumn("w", F.col("weight") * F.when(F.col("is_mule") == 1, scale).otherwise(1.0))
+    own = ["account_id", "is_mule", "fold", "w"]
+    ready = assembled(written(weighted.select(*own, *columns), "train-rows"), columns, *own)
     parts, models = [], []
     for fold in range(k):
-        gbt = GBTClassifier(labelCol="is_mule", weightCol="w", maxIter=trees, maxDepth=depth, seed=42, subsamplingRate=1.0)
-        model = gbt.fit(ready.where(F.col("fold") != fold))
-        models.append(model)
-        parts.append(model.transform(ready.where(F.col("fold") == fold)).select("account_id", "fold", "is_mule", vector_to_array("probability")[1].alias("score")))
+        train = ready.where(F.col("fold") != fold)
+        fitted = {name: x.fit(train) for name, x in learners(trees, depth).items()}
+        models.append(fitted)
+        parts.append(scored_by(fitted, ready.where(F.col("fold") == fold)).drop("w"))
     return reduce(DataFrame.unionByName, parts), models
 
 
-def importances(models: list, columns: list[str], spark, top: int = 25) -> DataFrame:  # noqa: ANN001
-    mean = sum(m.featureImportances.toArray() for m in models) / len(models)
-    return spark.createDataFrame(sorted(zip(columns, map(float, mean), strict=True), key=lambda x: (-x[1], x[0]))[:top], "feature string, importance double")
+def scored_new(models: list[dict], matrix: DataFrame, columns: list[str]) -> DataFrame:
+    """account_id, score: the mean of all folds' models, for rows that none of them has seen."""
+    named = {f"{i}_{name}": m for i, fitted in enumerate(models) for name, m in fitted.items()}
+    return scored_by(named, assembled(written(matrix.select("account_id", *columns), "new-rows"), columns, "account_id")).select("account_id", "score")
+
+
+def importances(models: list[dict], columns: list[str], spark, top: int | None = 25) -> DataFrame:  # noqa: ANN001
+    """feature, importance: the mean over all models, the greatest first."""
+    each = [m.featureImportances.toArray() for fitted in models for m in fitted.values()]
+    mean = sum(each) / len(each)
+    rows = sorted(zip(columns, map(float, mean), strict=True), key=lambda x: (-x[1], x[0]))
+    return spark.createDataFrame(rows[:top], "feature string, importance double")

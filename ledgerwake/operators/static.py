@@ -44,7 +44,12 @@ def coded(df: DataFrame, column: str) -> DataFrame:
     return df.join(codes, column, "left").drop(column).withColumnRenamed("_code", column)
 
 
-DROPPED = ("customer_id", "branch_code", "account_opening_date", "freeze_date", "unfreeze_date", "date_of_birth", "relationship_start_date", "branch_pin", "customer_pin", "permanent_pin", "branch_address", "branch_pin_code", "last_mobile_update_date", "last_kyc_date", "address_last_update_date", "passbook_last_update_date")
+#: The names of columns that are ids, addresses and dates, and no features.
+DROPPED = (
+    "customer_id", "branch_code", "branch_pin", "customer_pin", "permanent_pin", "branch_address", "branch_pin_code", "account_opening_date", "freeze_date", "unfreeze_date",
+    "last_mobile_update_date", "last_kyc_date", "date_of_birth", "relationship_start_date", "address_last_update_date", "passbook_last_update_date",
+)
+#: The names of label columns that tell the label itself.
 LEAKS = ("mule_flag_date", "alert_reason", "flagged_by_branch")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import AS_OF, CENTRE, CUT_3M, CUT_6M, MONTHS, RISKY
+from ..functions import COARSE, HALF
+from ..operators.decisions import WEIGHTS
+from .queries import AS_OF, CENTRE, CUT_3M, CUT_6M, GATE, MONTHS, RISKY, V1, V2, V3
 
 _ACCT = "'ACCT_' || lpad(CAST({} AS VARCHAR), 6, '0')"
 _K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
@@ -21,7 +23,7 @@ VIEWS = {
       CASE WHEN event_type = 'error' THEN 'special' ELSE 'normal' END AS sub_type, event_type AS part_type FROM events""",
     "joined_b": "SELECT t.account_id, a.* FROM txn_b t JOIN add_b a USING (transaction_id)",
     "labels_": f"SELECT {_ACCT.format('c_custkey')} AS account_id, CAST(c_acctbal < 0 AS INTEGER) AS is_mule FROM customer WHERE c_custkey % 5 >= 2",
-    "folds": "SELECT *, (row_number() OVER (PARTITION BY is_mule ORDER BY account_id) - 1) % 5 AS fold FROM labels_",
+    "folds": "SELECT *, (row_number() OVER (PARTITION BY is_mule ORDER BY md5(account_id)) - 1) % 5 AS fold FROM labels_",
     "accts": f"SELECT {_ACCT.format('c_custkey')} AS account_id FROM customer",
     "prior_": "SELECT avg(CAST(is_mule AS DOUBLE)) AS prior FROM labels_",
     "scores": f"SELECT {_ACCT.format('c_custkey')} AS account_id, CAST(c_custkey * 37 % 101 AS DOUBLE) / 100 AS s1, CAST(c_custkey * 53 % 97 AS DOUBLE) / 96 AS s2 FROM customer",
@@ -58,11 +60,24 @@ VIEWS = {
 
 
 def _q(x: str) -> str:
-    x = f"CAST({x} AS DOUBLE)"
-    return f"(CASE WHEN abs({x}) < 1e9 THEN floor({x} * CAST(1e6 AS DOUBLE) + CAST(0.623 AS DOUBLE)) / CAST(1e6 AS DOUBLE) ELSE floor({x} / CAST(1e6 AS DOUBLE) + CAST(0.623 AS DOUBLE)) * CAST(1e6 AS DOUBLE) END + CAST(0 AS DOUBLE))"
+    d = "CAST({} AS DOUBLE)".format
+    x = d(x)
+    parts = [f"WHEN abs({x}) < 1e9 THEN floor({x} * {d('1e6')} + {d(HALF)}) / {d('1e6')}", f"WHEN abs({x}) < 1e10 THEN floor({x} * {d(10)} + {d(HALF)}) / {d(10)}"]
+    for k in COARSE[1:]:
+        step = d(f"1e{k - 10}")
+        parts.append(f"WHEN abs({x}) < 1e{k + 1} THEN floor({x} / {step} + {d(HALF)}) * {step}")
+    return f"(CASE {' '.join(parts)} ELSE {x} END + {d(0)})"
 
 
-def _sql(body: str, doubles: str = "", longs: str = "") -> str:
+class Sql(str):
+    """A query whose doubles are rounded, with the parts it was made of."""
+
+    body: str
+    doubles: str
+    longs: str
+
+
+def _sql(body: str, doubles: str = "", longs: str = "") -> Sql:
     """body over the views above that it names, directly or through each other; doubles quantised, longs cast."""
     import re
 
@@ -78,7 +93,9 @@ def _sql(body: str, doubles: str = "", longs: str = "") -> str:
     need(body)
     swap = [f"{_q(c)} AS {c}" for c in doubles.split()] + [f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()]
     head = ("WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in used) + " ") if used else ""
-    return f"{head}SELECT * {'REPLACE (' + ', '.join(swap) + ')' if swap else ''} FROM ({body})"
+    out = Sql(f"{head}SELECT * {'REPLACE (' + ', '.join(swap) + ')' if swap else ''} FROM ({body})")
+    out.body, out.doubles, out.longs = body, doubles, longs
+    return out
 
 
 def _r(a: str, b: str, add: str = "1e-9") -> str:
@@ -143,6 +160,17 @@ def _pass(version: int) -> str:
     return f"SELECT account_id, coalesce(sum(least(daily_in, daily_out)) / (sum({'daily_vol' if version == 1 else 'greatest(daily_in, daily_out)'}) + CAST(1e-9 AS DOUBLE)), 0) AS pass_through_ratio FROM {{}} GROUP BY 1"
 
 
+def _matrix(q: dict[str, Sql], features: list, more: str = "", more_doubles: str = "") -> Sql:
+    """The feature tables' queries, not rounded yet, joined to the encoded master."""
+    codes = ", ".join(f"dense_rank() OVER (ORDER BY {c}) - 1 AS {c}" for c in ("branch_name", "branch_region", "account_segment", "segment"))
+    master = f"""SELECT account_id, account_count_per_customer, n_products, income_band, account_age_days, customer_age_days, was_frozen, kyc_flag, {codes} FROM ({q["account_master"].body})
+      JOIN (SELECT {_ACCT.format("c_custkey")} AS account_id, c_acctbal > 5000 AS kyc_flag, c_mktsegment AS segment FROM customer) USING (account_id)"""
+    parts = [q[f.__name__] for f in features]
+    joins = " ".join(f"LEFT JOIN ({x.body}) USING (account_id)" for x in parts)
+    longs = "account_count_per_customer n_products income_band account_age_days customer_age_days was_frozen kyc_flag branch_name branch_region account_segment segment"
+    return _sql(f"SELECT *{', ' + more if more else ''} FROM ({master}) {joins}", " ".join([*(x.doubles for x in parts), more_doubles]), " ".join([longs, *(x.longs for x in parts)]))
+
+
 def _auc(score: str, rows: str) -> str:
     return f"""(SELECT (sum(is_mule * r) - sum(is_mule) * (sum(is_mule) + 1) / CAST(2 AS DOUBLE)) / nullif(sum(is_mule) * (count(*) - sum(is_mule)), 0) FROM (
       SELECT is_mule, rank() OVER (ORDER BY {score}) + (count(*) OVER (PARTITION BY {score}) - 1) / CAST(2 AS DOUBLE) AS r FROM {rows}))"""
@@ -295,21 +323,10 @@ def oracle_sql() -> dict[str, str]:
     )
     q["yn_encode"] = _sql(f"SELECT {_ACCT.format('c_custkey')} AS account_id, c_acctbal > 5000 AS kyc_flag, c_mktsegment AS segment FROM customer", longs="kyc_flag")
     q["categorical_codes"] = _sql(f"SELECT {_ACCT.format('c_custkey')} AS account_id, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS segment FROM customer", longs="segment")
-    q["feature_matrix"] = _sql(
-        f"""SELECT {_ACCT.format("c_custkey")} AS account_id, c_acctbal > 5000 AS kyc_flag, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS segment, total_volume, total_txns, id AS in_degree, od AS out_degree, n_mule_counterparties, n_active_months, greatest(h, 0) AS cp_entropy, burst AS burst_count_5min,
-      pass_through_ratio, pass_through_ratio * coalesce(id, 0) AS pt_x_in_degree, zmax * coalesce(total_txns, 0) AS zscore_x_txns FROM customer c LEFT JOIN basic_a a ON a.account_id = {_ACCT.format("c_custkey")} LEFT JOIN degrees d ON d.account_id = {_ACCT.format("c_custkey")}
-      LEFT JOIN (SELECT k.account_id, coalesce(n_mule_counterparties, 0) AS n_mule_counterparties FROM (SELECT account_id FROM edges UNION SELECT counterparty_id FROM edges) k LEFT JOIN mule_nb USING (account_id)) m ON m.account_id = {_ACCT.format("c_custkey")}
-      LEFT JOIN (SELECT account_id, count(*) AS n_active_months FROM months GROUP BY 1) mo ON mo.account_id = {_ACCT.format("c_custkey")} LEFT JOIN entropy e ON e.account_id = {_ACCT.format("c_custkey")} LEFT JOIN bursts b ON b.account_id = {_ACCT.format("c_custkey")}
-      LEFT JOIN ({_pass(2).format("daily_a")}) p ON p.account_id = {_ACCT.format("c_custkey")} LEFT JOIN zscores z ON z.account_id = {_ACCT.format("c_custkey")}""",
-        "total_volume cp_entropy pass_through_ratio pt_x_in_degree zscore_x_txns",
-        "kyc_flag segment total_txns in_degree out_degree n_mule_counterparties n_active_months burst_count_5min",
-    )
-    q["feature_matrix_v3"] = _sql(
-        f"""SELECT k.account_id, c_acctbal > 5000 AS kyc_flag, b.total_volume, b.total_txns, coalesce(v3, 0) AS recent_3m_vol, coalesce(n3, 0) AS recent_3m_txns, {_r("coalesce(v3, 0)", "coalesce(b.total_volume, 0)")} AS recent_vol_ratio, {_r("coalesce(n3, 0)", "coalesce(b.total_txns, 0)", "1")} AS recent_txn_ratio,
-      coalesce(n3, 0) > 0 AS is_active_recent FROM (SELECT {_ACCT.format("c_custkey")} AS account_id, c_acctbal FROM customer) k LEFT JOIN basic_a b USING (account_id) LEFT JOIN (SELECT account_id, sum(abs(amount)) AS v3, count(*) AS n3 FROM txn_a WHERE {_R3} GROUP BY 1) r USING (account_id)""",
-        "total_volume recent_3m_vol recent_vol_ratio recent_txn_ratio",
-        "kyc_flag total_txns recent_3m_txns is_active_recent",
+    q["feature_matrix"] = _matrix(
+        q, V1 + V2, "pass_through_ratio * coalesce(in_degree, 0) AS pt_x_in_degree, rolling_7d_zscore_max * coalesce(total_txns, 0) AS zscore_x_txns", "pt_x_in_degree zscore_x_txns"
     )
+    q["feature_matrix_v3"] = _matrix(q, V1 + V3)
     q["train_split"] = _sql(f"SELECT {_ACCT.format('c_custkey')} AS account_id, c_nationkey AS branch_code, CASE WHEN c_custkey % 5 < 2 THEN -1 ELSE CAST(c_acctbal < 0 AS INTEGER) END AS is_mule FROM customer", longs="branch_code is_mule")
     q["ghost_weights"] = _sql(
         f"SELECT account_id, CASE WHEN pass_through_ratio > 0.35 OR burst > 20 THEN 0.1 ELSE 1 END AS defensive, CASE WHEN pass_through_ratio > 0.18 OR burst > 20 THEN 0.7 ELSE 1 END AS robust FROM ({_pass(2).format('daily_b')}) LEFT JOIN bursts USING (account_id)",
@@ -319,9 +336,9 @@ def oracle_sql() -> dict[str, str]:
     q["prob_blend"] = _sql("SELECT account_id, (s1 + s2) / 2 AS blend FROM scores", "blend")
     q["rank_blend"] = _sql("SELECT account_id, r1 AS rank_s1, r2 AS rank_s2, rank_blend FROM ranked", "rank_s1 rank_s2 rank_blend")
     q["auc_by_rank"] = _sql(f"SELECT {_auc('s1', _LABELLED)} AS auc", "auc")
-    arms = [(f"mean {w:.2f}", f"(SELECT *, {w} * s1 + (1 - {w}) * s2 AS s FROM {_LABELLED})") for w in (0.0, 0.25, 0.5, 0.75, 1.0)]
+    arms = [(f"mean {w:.2f}", f"(SELECT *, CAST({w} AS DOUBLE) * s1 + CAST({1 - w} AS DOUBLE) * s2 AS s FROM {_LABELLED})") for w in WEIGHTS]
     both = "(SELECT is_mule, (percent1 + percent2) / 2 AS s FROM (SELECT is_mule, (rank() OVER (ORDER BY s1) + (count(*) OVER (PARTITION BY s1) - 1) / CAST(2 AS DOUBLE)) / count(*) OVER () AS percent1, (rank() OVER (ORDER BY s2) + (count(*) OVER (PARTITION BY s2) - 1) / CAST(2 AS DOUBLE)) / count(*) OVER () AS percent2 FROM " + _LABELLED + "))"
-    q["best_blend"] = _sql("SELECT strategy, auc FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS strategy, {i} AS k, {_auc('s', rows)} AS auc" for i, (n, rows) in enumerate([*arms, ("rank", both)])) + ") ORDER BY round(auc, 12) DESC, k LIMIT 1", "auc")
+    q["best_blend"] = _sql("SELECT strategy, auc FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS strategy, {i} AS k, {_auc('s', rows)} AS auc" for i, (n, rows) in enumerate([*arms, ("rank", both), ("geometric", f"(SELECT *, sqrt(s1 * s2) AS s FROM {_LABELLED})"), ("highest", f"(SELECT *, greatest(s1, s2) AS s FROM {_LABELLED})")])) + ") ORDER BY round(auc, 12) DESC, k LIMIT 1", "auc")
     q["f1_threshold_grid"] = _sql(
         f"""SELECT threshold, f1 FROM (SELECT i, i * (CAST(1 AS DOUBLE) / 1000) AS threshold, 2 * CAST(tp AS DOUBLE) / nullif(n + pos, 0) AS f1 FROM (SELECT i, count(*) FILTER (WHERE s1 > i * (CAST(1 AS DOUBLE) / 1000) AND is_mule = 1) AS tp,
       count(*) FILTER (WHERE s1 > i * (CAST(1 AS DOUBLE) / 1000)) AS n, sum(is_mule) AS pos FROM range(1001) g(i), {_LABELLED} GROUP BY i)) ORDER BY f1 DESC, i LIMIT 1""",
@@ -345,5 +362,25 @@ def oracle_sql() -> dict[str, str]:
     )
     q["submission"] = _sql("SELECT account_id, s1 AS is_mule, coalesce(strftime(suspicious_start, '%Y-%m-%d %H:%M:%S'), '') AS suspicious_start, coalesce(strftime(suspicious_end, '%Y-%m-%d %H:%M:%S'), '') AS suspicious_end FROM scores LEFT JOIN life USING (account_id)", "is_mule")
     q["value_counts"] = _sql("SELECT channel, count(*) AS count FROM txn_a GROUP BY 1")
-    q["null_counts"] = _sql("SELECT count(*) FILTER (WHERE counterparty_id IS NULL) AS counterparty_id, count(*) FILTER (WHERE txn_type IS NULL) AS txn_type, count(*) FILTER (WHERE mcc_code IS NULL) AS mcc_code FROM txn_b")
+    columns = ["transaction_id", "account_id", "counterparty_id", "amount", "txn_type", "channel", "mcc_code", "ts", "scaled_amount"]
+    added = {"balance": "balance_after_transaction", "ip": "ip_address", "lat": "latitude", "lon": "longitude", "sub_type": "transaction_sub_type", "part_type": "part_transaction_type"}
+    nulls = [f"count(*) FILTER (WHERE {c} IS NULL) AS {to}" for c, to in [*((c, c) for c in columns), *added.items()]]
+    q["null_counts"] = _sql(f"SELECT {', '.join(nulls)} FROM txn_b JOIN add_b USING (transaction_id)")
+    q["safety_gate"] = _sql(f"SELECT auc, coalesce(auc > {GATE}, false) AS passes FROM (SELECT {_auc('s1', _LABELLED)} AS auc)", "auc", "passes")
+    q["row_count_check"] = _sql("SELECT (SELECT count(*) FROM scores) AS n, (SELECT count(*) FROM accts) AS expected, 1 AS same", longs="n expected same")
+    q["sampled_accounts"] = _sql("SELECT account_id FROM accts ORDER BY md5(account_id || ' 42'), account_id LIMIT 100")
+    q["first_transactions"] = _sql("SELECT transaction_id, amount FROM txn_b ORDER BY transaction_id LIMIT 50", "amount", "transaction_id")
+    q["clean_numbers"] = _sql(
+        "SELECT account_id, CASE WHEN s1 > 0.3 THEN 0 ELSE s1 END AS zeroed, CASE WHEN s1 > 0.7 THEN 99.5 WHEN s1 > 0.5 THEN -99.5 WHEN s1 > 0.3 THEN 0 ELSE s1 END AS bounded FROM scores", "zeroed bounded"
+    )
+    q["log_volume"] = _sql("SELECT account_id, ln(1 + total_volume) AS log_volume, ln(1 + CAST(total_txns AS DOUBLE)) AS log_txns FROM basic_a", "log_volume log_txns")
+    half = "(SELECT *, day(ts) % 2 AS b FROM txn_b JOIN add_b USING (transaction_id))"
+    q["txn_balance_batched"] = _sql(
+        f"""SELECT account_id, avg(s) AS balance_std, avg(a) AS balance_mean, min(lo) AS balance_min, max(hi) AS balance_max, sum(z) AS near_zero_balance_count, sum(m) AS negative_balance_count FROM (
+      SELECT account_id, b, stddev_samp(balance) AS s, avg(balance) AS a, min(balance) AS lo, max(balance) AS hi, count(*) FILTER (WHERE abs(balance) < 100) AS z, count(*) FILTER (WHERE balance < 0) AS m
+      FROM {half} WHERE balance IS NOT NULL GROUP BY ALL) GROUP BY 1""",
+        "balance_std balance_mean balance_min balance_max",
+        "near_zero_balance_count negative_balance_count",
+    )
+    q["txn_ip_batched"] = _sql(f"SELECT account_id, sum(u) AS n_unique_ips, sum(n) AS n_ip_txns FROM (SELECT account_id, b, count(DISTINCT ip) AS u, count(*) AS n FROM {half} WHERE ip IS NOT NULL GROUP BY ALL) GROUP BY 1", longs="n_unique_ips n_ip_txns")
     return q

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import quantised
+from ..functions import clean_number, quantised
 from ..operators import aggregates as A
 from ..operators import batches as B
 from ..operators import decisions as D
@@ -15,10 +16,14 @@ from ..operators import series as S
 from ..operators import static as M
 from ..operators import target_encoding as E
 from ..sources import Tables
+from ..staging import written, written_all
+from . import end_to_end as P
 
 #: Parameters that the test tables' dates and values call for.
 AS_OF, CUT_3M, CUT_6M, MONTHS, RISKY = "2025-06-30", "2001-08-01", "2001-05-01", 83, 0.08
 CENTRE = "ACCT_000007"
+#: The AUC that scores must be above.
+GATE = 0.45
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -61,10 +66,25 @@ def iat_burst_batched(t: Tables) -> DataFrame:
 
 
 @query
-def account_master(t: Tables) -> DataFrame:
+def txn_balance_batched(t: Tables) -> DataFrame:
+    j = A.with_additional(t.txn_b().withColumn("batch", F.dayofmonth("ts") % 2), t.add_b(), ["batch"])
+    return B.merged(A.balances, j, "batch", [0, 1], B.BALANCES)
+
+
+@query
+def txn_ip_batched(t: Tables) -> DataFrame:
+    j = A.with_additional(t.txn_b().withColumn("batch", F.dayofmonth("ts") % 2), t.add_b(), ["batch"])
+    return B.merged(A.ip_addresses, j, "batch", [0, 1], B.IPS)
+
+
+def full_master(t: Tables) -> DataFrame:
     extra = t.accounts().select("account_id", F.col("segment").alias("account_segment"))
-    m = M.account_master(t.accounts(), t.linkage(), t.customers(), t.branches(), all_accounts(t), t.products(), t.demographics(), extra, AS_OF)
-    return m.select("account_id", "customer_id", "account_count_per_customer", "branch_code", "branch_name", "branch_region", "n_products", "income_band", "account_segment", "account_age_days", "customer_age_days", "was_frozen")
+    return M.account_master(t.accounts(), t.linkage(), t.customers(), t.branches(), all_accounts(t), t.products(), t.demographics(), extra, AS_OF)
+
+
+@query
+def account_master(t: Tables) -> DataFrame:
+    return full_master(t).select("account_id", "customer_id", "account_count_per_customer", "branch_code", "branch_name", "branch_region", "n_products", "income_band", "account_segment", "account_age_days", "customer_age_days", "was_frozen")
 
 
 @query
@@ -272,22 +292,48 @@ def categorical_codes(t: Tables) -> DataFrame:
     return M.coded(t.accounts().select("account_id", "segment"), "segment").select("account_id", "segment")
 
 
-def matrix(t: Tables) -> DataFrame:
-    a = t.txn_a()
-    master = t.accounts().join(all_accounts(t), "account_id", "left_semi")
-    return M.feature_matrix(master, [A.txn_basic(a), A.graph_degree(a), A.graph_labels(a, t.labels()), S.monthly(a, MONTHS), S.cp_entropy(a), S.gaps(t.txn_b()), S.pass_through(S.daily(a), 2), S.rolling_zscore(S.daily(t.txn_b()))])
+class Staged(Tables):
+    """The tables with transactions written once, for a plan in which many features read them."""
+
+    @cached_property
+    def _a(self) -> DataFrame:
+        return written(super().txn_a(), "transactions-a")
+
+    @cached_property
+    def _b(self) -> DataFrame:
+        return written(super().txn_b(), "transactions-b")
+
+    def txn_a(self) -> DataFrame:
+        return self._a
+
+    def txn_b(self) -> DataFrame:
+        return self._b
+
+
+#: The matrix's feature tables: those of its first version, those that the second adds, and those of the third.
+V1 = [
+    txn_basic, iat_burst, temporal_patterns, graph_degree, graph_label_exposure, txn_additional, monthly_behavior, passthrough_hours, cp_concentration, activity_span,
+    oof_te_counterparty, oof_te_mcc, oof_te_channel, oof_te_pair, neighbor_risk,
+]
+V2 = [rolling_7d_zscore, cp_entropy, days_to_first_txn, turnover_ratio, peak_day_conc, pass_through_v2, cp_frequency, mule_ip_exposure, txn_subtypes, te_family_txntype, te_family_mcc_txn, te_family_cp_txn]
+V3 = [recency]
+
+
+def matrix(t: Tables, features: list[Callable[[Tables], DataFrame]]) -> DataFrame:
+    """A table a feature family, then one join of them all."""
+    own = Staged(t.spark, t.path)
+    tables = written_all({f.__name__: f(own) for f in features})
+    return M.feature_matrix(written(full_master(t), "master"), tables)
 
 
 @query
 def feature_matrix(t: Tables) -> DataFrame:
-    m = M.interactions(matrix(t))
-    return m.select("account_id", "kyc_flag", "segment", "total_volume", "total_txns", "in_degree", "out_degree", "n_mule_counterparties", "n_active_months", "cp_entropy", "burst_count_5min", "pass_through_ratio", "pt_x_in_degree", "zscore_x_txns")
+    return M.interactions(matrix(t, V1 + V2))
 
 
 @query
 def feature_matrix_v3(t: Tables) -> DataFrame:
-    m = matrix(t).join(A.recency(t.txn_a(), all_accounts(t), CUT_3M, CUT_6M), "account_id", "left")
-    return m.select("account_id", "kyc_flag", "total_volume", "total_txns", "recent_3m_vol", "recent_3m_txns", "recent_vol_ratio", "recent_txn_ratio", "is_active_recent")
+    return matrix(t, V1 + V3)
 
 
 @query
@@ -328,7 +374,12 @@ def auc_by_rank(t: Tables) -> DataFrame:
 
 @query
 def best_blend(t: Tables) -> DataFrame:
-    return D.best_blend(t.scores().join(t.labels(), "account_id"), ["s1", "s2"], [0.0, 0.25, 0.5, 0.75, 1.0])
+    return D.best_blend(t.scores().join(t.labels(), "account_id"), ["s1", "s2"])
+
+
+@query
+def safety_gate(t: Tables) -> DataFrame:
+    return D.gate(scored(t).join(t.labels(), "account_id"), GATE)
 
 
 @query
@@ -383,26 +434,78 @@ def value_counts(t: Tables) -> DataFrame:
 
 @query
 def null_counts(t: Tables) -> DataFrame:
-    return A.null_counts(t.txn_b().select("counterparty_id", "txn_type", "mcc_code"))
+    return A.null_counts(t.txn_b().join(t.add_b(), "transaction_id"))
+
+
+@query
+def row_count_check(t: Tables) -> DataFrame:
+    return D.row_counts(submission(t), all_accounts(t))
 
 
-def training_rows(t: Tables) -> tuple[DataFrame, list[str]]:
-    m = matrix(t)
+@query
+def sampled_accounts(t: Tables) -> DataFrame:
+    return D.sampled(t.accounts().select("account_id"), "account_id", 100)
+
+
+@query
+def first_transactions(t: Tables) -> DataFrame:
+    return t.txn_b().select("transaction_id", "amount").orderBy("transaction_id").limit(50)
+
+
+@query
+def clean_numbers(t: Tables) -> DataFrame:
+    s, none = t.scores(), F.lit(float("nan"))
+    odd = F.when(F.col("s1") > 0.7, F.lit(float("inf"))).when(F.col("s1") > 0.5, F.lit(float("-inf"))).when(F.col("s1") > 0.3, none).otherwise(F.col("s1"))
+    return s.select("account_id", clean_number(odd).alias("zeroed"), clean_number(odd, 99.5).alias("bounded"))
+
+
+@query
+def log_volume(t: Tables) -> DataFrame:
+    a = A.txn_basic(t.txn_a())
+    return a.select("account_id", F.log1p("total_volume").alias("log_volume"), F.log1p("total_txns").alias("log_txns"))
+
+
+#: The size of the models that queries train.
+TREES, DEPTH = 8, 4
+
+
+@cache
+def _trained(spark: SparkSession, path: str) -> tuple[DataFrame, list[dict], list[str]]:
+    """Out-of-fold scores, models and columns: trained once a session for each folder."""
+    t = Tables(spark, path)
+    m = M.interactions(matrix(t, V1 + V2))
     columns = M.numeric_columns(m)
     train, _ = M.split(m, E.folds(t.labels()), t.test_accounts())
-    return train.withColumn("weight", D.ghost_weight()), columns
+    oof, models = D.out_of_fold(train.withColumn("weight", D.ghost_weight()), columns, trees=TREES, depth=DEPTH)
+    return oof, models, columns
 
 
 @query
 def gbt_oof_scores(t: Tables) -> DataFrame:
-    rows, columns = training_rows(t)
-    return D.gbt_out_of_fold(rows, columns)[0]
+    return _trained(t.spark, t.path)[0].select("account_id", "fold", "is_mule", F.col("score_gbt").alias("score"))
+
+
+@query
+def ensemble_oof_scores(t: Tables) -> DataFrame:
+    return _trained(t.spark, t.path)[0]
 
 
 @query
 def feature_importance(t: Tables) -> DataFrame:
-    rows, columns = training_rows(t)
-    return D.importances(D.gbt_out_of_fold(rows, columns)[1], columns, t.spark)
+    _, models, columns = _trained(t.spark, t.path)
+    return D.importances(models, columns, t.spark)
+
+
+@query
+def importance_pruning(t: Tables) -> DataFrame:
+    _, models, columns = _trained(t.spark, t.path)
+    every = D.importances(models, columns, t.spark, None)
+    return every.where(F.col("feature").isin(M.important(columns, every)))
+
+
+@query
+def pseudo_label_scores(t: Tables) -> DataFrame:
+    return P.retrained(matrix(t, V1), t.labels(), t.test_accounts(), 3, TREES, DEPTH)
 
 
 def queries() -> dict[str, Query]:

@@ -190,6 +190,23 @@ def test_f1_grid_like_a_loop(spark):
     assert (r["f1"], r["threshold"]) == (pytest.approx(best[0]), pytest.approx(best[1]))
 
 
+def test_percentiles_like_sorting(spark):
+    rng = random.Random(6)
+    values = sorted(round(rng.random() ** 3, 2) for _ in range(777))
+    got = D.percentiles(spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(5), "v", {"a": 0.0, "b": 0.1, "c": 0.972, "d": 1.0}).first()
+    for name, share in (("a", 0.0), ("b", 0.1), ("c", 0.972), ("d", 1.0)):
+        at = share * 776
+        lo, hi = values[math.floor(at)], values[math.ceil(at)]
+        assert got[name] == pytest.approx(lo + (hi - lo) * (at - math.floor(at)))
+    assert D.percentiles(spark.createDataFrame([], "v double"), "v", {"a": 0.5}).first()["a"] is None
+
+
+def test_values_are_kept_to_their_digits(spark):
+    values = [365226649956.6612, 1.2345678, -7.0000004, 999999999.123456, 1.5e14, -3e18, 0.0, 2.5e-7]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(X.quantised("v")).collect()]
+    assert got == pytest.approx(values, rel=1e-9, abs=5.1e-7)
+
+
 def test_rank_ties_are_averaged(spark):
     s = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 2.0), ("d", 0.0)], "account_id string, s double")
     assert {r["account_id"]: r["r"] for r in D.rank_share(s, "s", "r").collect()} == {"a": 0.625, "b": 0.625, "c": 1.0, "d": 0.25}
@@ -222,7 +239,12 @@ def test_training_and_gate(spark):
     rng = random.Random(1)
     rows = [(f"a{i:03}", int(i % 4 == 0), i % 3, 1.0, float(i % 4 == 0) + rng.random() * 0.5, rng.random()) for i in range(120)]
     m = spark.createDataFrame(rows, "account_id string, is_mule int, fold int, weight double, x double, y double")
-    oof, models = D.gbt_out_of_fold(m, ["x", "y"], k=3, trees=3, depth=2)
-    assert oof.count() == 120 and D.passes_gate(oof, 0.9)
-    assert D.importances(models, ["x", "y"], spark).first()["feature"] == "x"
+    odd = m.withColumn("z", F.when(F.col("fold") == 0, float("nan")).when(F.col("fold") == 1, float("inf")))
+    oof, models = D.out_of_fold(odd, ["x", "y", "z"], k=3, trees=3, depth=2)
+    rows = oof.collect()
+    assert len(rows) == 120 and D.passes_gate(oof, 0.9) and not D.passes_gate(oof, 1.0)
+    assert all(r["score"] == pytest.approx((r["score_gbt"] + r["score_forest"]) / 2) for r in rows)
+    new = D.scored_new(models, odd.where("fold = 0"), ["x", "y", "z"])
+    assert new.count() == 40 and new.where("score < 0 or score > 1").count() == 0
+    assert D.importances(models, ["x", "y", "z"], spark).first()["feature"] == "x"
     assert D.sampled(m, "account_id", 10).collect() == D.sampled(m, "account_id", 10).collect()

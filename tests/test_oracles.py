@@ -9,7 +9,7 @@ SQL = oracle_sql()
 
 
 def test_every_query_has_sql_but_the_trained_ones():
-    assert set(queries()) - set(SQL) == {"gbt_oof_scores", "feature_importance"}
+    assert set(queries()) - set(SQL) == {"gbt_oof_scores", "ensemble_oof_scores", "feature_importance", "importance_pruning", "pseudo_label_scores"}
     assert set(SQL) <= set(queries())
 
 
