@@ -13,12 +13,10 @@ occurs, so the similarity is a weighted Jaccard similarity in any case.
 
 Each text gets ``BANDS * ROWS`` samples. Texts that share all samples of a band are candidates:
 in a bucket of up to ``SMALL`` different texts all pairs, in a larger one each text with the bucket's least
-and with ``RING`` neighbours in an order of the band's own; what a large bucket leaves outside its largest
-component is then compared with ``SPEAKERS`` texts of that, for up to ``ROUNDS`` rounds with other texts each
-time. That leaves few components apart in a bucket; an exact join of rare shingles (see ``_left``) then takes every
-pair of its texts that are not yet in one component and may be similar. Pairs with a weighted Jaccard similarity of
-at least 0.8 are links; classes are the components of links. Equal texts are one class from the start: copies
-are never expanded into pairs.
+and with ``RING`` neighbours in an order of the band's own, which joins most of a group at the cost of a few pairs a text.
+An exact join of rare shingles (see ``_left``) then takes every pair of a large bucket's texts that are not yet in one
+component and may be similar. Pairs with a weighted Jaccard similarity of at least 0.8 are links; classes are the
+components of links. Equal texts are one class from the start: copies are never expanded into pairs.
 
 A null text counts as empty; all texts without a word are kept apart unless they are equal. Repeated rows are copies of
 each other. A document's class is the least doc_id in it, null only where all are; one row of a class is kept, of rows
@@ -49,7 +47,6 @@ DAMPING = 0.5
 BANDS, ROWS = 9, 3
 THRESHOLD = 0.8
 SMALL, RING = 16, 2
-ROUNDS, SPEAKERS = 3, 12
 BITS = 1 << 24
 _TABLE = 1 << 14
 
@@ -60,7 +57,8 @@ def _summed(parts: DataFrame) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         unpack, total = zstandard.ZstdDecompressor(), np.zeros(CELLS // BLOCKS, np.uint64)
         for z in t["z"]:
-            total += np.frombuffer(unpack.decompress(z.as_py()), np.uint64)
+            raw = unpack.decompress(z.as_py())
+            total += np.frombuffer(raw, np.uint32 if len(raw) == 4 * len(total) else np.uint64)  # a task's counts, or sums of them
         out = zstandard.ZstdCompressor(level=1).compress(total.tobytes())
         return pa.table({"block": t["block"].slice(0, 1), "part": t["part"].slice(0, 1), "z": pa.array([out], pa.binary())})
 
@@ -72,13 +70,12 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
     """(number of documents that have a shingle of each cell, number of documents, sum of the cells)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(CELLS, np.uint64), 0
+        total = np.zeros(CELLS, np.uint32)
         for b in batches:
-            n += b.num_rows
             buf, offs = K.buffers(b.column("text"))
             for i, j in K.slices(buf, offs, 2048):
                 s, counts = K.shingles(*K.words(buf, offs[i : j + 1]), WORDS)
-                np.add.at(total, np.unique(K.doc_of(counts) * CELLS + cell_of(s)) % CELLS, np.uint64(1))
+                np.add.at(total, np.unique(K.doc_of(counts) * CELLS + cell_of(s)) % CELLS, np.uint32(1))
         pack = zstandard.ZstdCompressor(level=1)
         blocks = [pack.compress(x.tobytes()) for x in np.split(total, BLOCKS)]
         own = TaskContext.get().partitionId() % 64
@@ -344,23 +341,6 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     buckets = _shared(texts.select("t", "mass", F.explode("bands").alias("key")))
     links = _verified(_pairs(buckets, threshold), table, weights, threshold)
     nodes = written(components(links), "near-classes")
-    for seed in range(ROUNDS):
-        # a large bucket's texts that are outside its largest component are compared with several texts of that, others each round
-        crowd = _crowd(buckets, nodes)
-        speakers = F.array_distinct(F.array(*(F.min_by(F.struct("t", "mass"), F.xxhash64(F.lit(seed * SPEAKERS + i), "t")) for i in range(SPEAKERS))))
-        parts = crowd.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), speakers.alias("speakers"))
-        largest = parts.groupBy("key").agg(F.max(F.struct("k", "c", "speakers")).alias("p"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        largest = written(largest.select("key", F.col("p.c").alias("pc"), F.col("p.speakers").alias("speakers")), "near-largest")
-        fit = F.filter("speakers", lambda s: F.least(s["mass"], F.col("mass")) >= F.greatest(s["mass"], F.col("mass")) * (threshold - 1e-9))
-        # of the buckets in which a text meets a component, a list a band at most: no pair is made twice
-        met = crowd.join(largest, "key").where("c != pc").groupBy("t", "pc").agg(F.array_distinct(F.flatten(F.collect_list(fit))).alias("others"))
-        new = met.select("t", F.explode("others").alias("o")).select(F.least("t", "o.t").alias("a"), F.greatest("t", "o.t").alias("b")).distinct()
-        new = new.join(links, ["a", "b"], "left_anti")
-        found = _verified(new, table, weights, threshold)
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
-        nodes = written(components(links), "near-classes")
     found = _verified(_left(_crowd(buckets, nodes), table, weights, threshold), table, weights, threshold)
     if not found.isEmpty():
         nodes = written(components(links.unionByName(found)), "near-classes")
