@@ -6,7 +6,10 @@ reliable each bit's classifier is, is chosen. The choice is flagged as ambiguous
 codeword is nearly as close.
 
 A text that is null or has no letter gets ``und`` with the score 0. Without a labelled document
-every text gets that. Extra columns of the input are ignored.
+every text gets that. Ties go to the language that is first by code point. Equal texts get equal predictions,
+repeated rows repeated ones; to learn from, equal texts of one language count once. Long texts are read whole, a
+window at a time. An empty table gives no rows. Columns of the input that have the name of one that predict()
+adds (lang_pred, score, ambiguous) are left out; all others stay as they are.
 """
 
 from __future__ import annotations
@@ -17,16 +20,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tables import hash_share
+from .shared import written
 
 DIM = 2048
 SIZES = (1, 2, 3, 4)
-#: At most about so many labelled documents are fitted on, evenly over the languages, chosen by a hash of doc_id.
+#: At most so many different labelled texts are fitted on (but 20 a language), evenly over the languages, chosen by a hash of the text.
 SAMPLE = 6000
+ADDED = ("lang_pred", "score", "ambiguous")
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -98,14 +102,23 @@ def fit(x: np.ndarray, y: list[str], steps: int = 120, decay: float = 1e-5) -> E
     return Ecoc(languages, code, w, b, trust)
 
 
+def sampled(own: DataFrame, sample: int) -> DataFrame:
+    """lang, text: of the different texts of each language as many as its even share of the sample, the least by a hash."""
+    key = F.xxhash64("text").alias("key")
+    texts = written(own.select("lang", key).distinct(), "language-texts")
+    counts = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    most = max(20, sample // max(1, counts.count()))
+    # twice as many as needed at first, so that no task ranks all of a language's texts
+    few = texts.join(counts, "lang").where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.least(F.lit(1.0), 2.0 * most / F.col("n")) * (1 << 30))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("key"), F.lit(1 << 30)), "key"))
+    picked = written(few.withColumn("place", place).where(F.col("place") <= most).select("lang", "key"), "language-sample")
+    # two numbers for each text of the sample; a text's copies are one group, of which tasks keep one each
+    return own.select("lang", "text", key).join(F.broadcast(picked), ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))
+
+
 def train(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Ecoc:
     """Learns from text and lang of the documents for which ``usable`` holds and neither is null."""
-    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable)
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
-    most = max(20, sample // max(1, len(counts)))
-    share = F.lit(False)
-    for k, n in sorted(counts.items()):
-        share = share | ((F.col("lang") == k) & hash_share(F.struct("doc_id", "n"), min(1.0, most / n)))
+    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable).select("lang", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,7 +127,7 @@ def train(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Ecoc:
                 x = features(buf, offs[i : j + 1]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column("lang").slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    rows = own.select("doc_id", F.length("text").alias("n"), "lang", "text").where(share).select("lang", "text").mapInArrow(gather, "lang string, x binary").collect() if counts else []
+    rows = sampled(own, sample).select("lang", "text").mapInArrow(gather, "lang string, x binary").collect()  # the sample's
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     return fit(np.array([np.frombuffer(r["x"], np.float16) for r in rows]).reshape(-1, DIM), [r["lang"] for r in rows])
 
@@ -122,11 +135,12 @@ def train(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Ecoc:
 def predict(docs: DataFrame, model: Ecoc, keep_text: bool = False) -> DataFrame:
     """``docs`` (without its text, unless that is kept) with lang_pred, score and ambiguous."""
 
+    rest = [n for n in docs.columns if n not in ADDED and (n != "text" or keep_text)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(model.languages, object)
         for b in batches:
             buf, offs = K.buffers(b.column("text"))
-            rest = [n for n in b.schema.names if n != "text" or keep_text]
             for i, j in K.slices(buf, offs):
                 part = b.slice(i, j - i)
                 letter = np.array([t is not None and _LETTER.search(t) is not None for t in part.column("text").to_pylist()], bool) & (len(names) > 0)
@@ -134,7 +148,9 @@ def predict(docs: DataFrame, model: Ecoc, keep_text: bool = False) -> DataFrame:
                 if letter.any():
                     best, p, close = model.decode(features(buf, offs[i : j + 1]))
                     lang[letter], score[letter], ambiguous[letter] = names[best[letter]], p[letter], close[letter]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), pa.array(lang, pa.string()), pa.array(score), pa.array(ambiguous)], [*rest, "lang_pred", "score", "ambiguous"])
+                found = [pa.array(lang, pa.string()), pa.array(score), pa.array(ambiguous)]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), *found], [*rest, *ADDED])
 
-    rest = [f"`{n}` {t}" for n, t in docs.dtypes if n != "text" or keep_text]
-    return docs.mapInArrow(run, ", ".join([*rest, "lang_pred string", "score double", "ambiguous boolean"]))
+    types = dict(docs.dtypes)
+    kept = docs.select(*(F.col(f"`{n}`") for n in rest), *([] if keep_text else ["text"]))
+    return kept.mapInArrow(run, ", ".join([*(f"`{n}` {types[n]}" for n in rest), "lang_pred string", "score double", "ambiguous boolean"]))

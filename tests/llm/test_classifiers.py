@@ -55,6 +55,77 @@ def test_language_of_odd_rows(spark, odd):
     assert {r["lang_pred"] for r in langid.predict(odd.select("doc_id", "text"), none).collect()} == {"und"}
 
 
+def test_a_language_of_repeated_rows_is_learned(spark):
+    words = {"fr": "le chat dort sous la table et rêve", "en": "the cat sleeps under a table and dreams", "de": "die Katze schläft unter dem Tisch und träumt"}
+    rows = [(7, words["fr"], "fr")] * 3000 + [(i, f"{words[k]} {i}", k) for i in range(400) for k in ("en", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    picked = langid.sampled(docs, 300).groupBy("lang").agg(F.count("text").alias("n"), F.countDistinct("text").alias("d")).collect()
+    assert {r["lang"]: (r["n"], r["d"]) for r in picked} == {"fr": (1, 1), "en": (100, 100), "de": (100, 100)}
+    model = langid.train(docs, F.lit(True), 300)
+    assert model.languages == ["de", "en", "fr"]
+    got = langid.predict(docs.where("doc_id in (7, 3)"), model).select("lang", "lang_pred").distinct().collect()
+    assert len(got) == 3 and all(r["lang"] == r["lang_pred"] for r in got)
+
+
+def test_one_text_of_a_repeated_id_is_learned_from(spark):
+    rows = [(1, f"text {i} of one id")for i in range(2000)] + [(2, "a good text of words"), (3, "JUNK!!! JUNK!!! $$$")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, quality int")
+    seen = []
+    fit = quality.fit
+    try:
+        quality.fit = lambda good, bad, share: seen.append((len(good), len(bad), share)) or fit(good, bad, share)
+        quality.train(docs, labels, F.lit(True))
+    finally:
+        quality.fit = fit
+    assert seen == [(2, 1, pytest.approx(1 / 3))]
+
+
+def test_columns_that_clash(spark, odd):
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    wide = odd.withColumn("predicted", F.lit(9)).withColumn("lang_pred", F.lit("q")).withColumn("x y", F.lit(1))
+    got = quality.score(wide, quality.train(wide, labels, F.lit(True)), keep_text=True)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "x y", "score", "predicted"] and {r["predicted"] for r in got.collect()} <= {0, 1}
+    got = langid.predict(wide, langid.train(wide, F.lit(True)))
+    assert got.columns == ["doc_id", "lang", "predicted", "x y", "lang_pred", "score", "ambiguous"] and got.count() == odd.count()
+
+
+def test_preference_is_learned_as_by_plain_descent():
+    """The weights' order of documents against a slow minimisation of the same loss over all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.zeros((60, quality.DIM + 4))
+    x[:, :3] = rng.normal(size=(60, 3))
+    y = x[:, 0] - 0.5 * x[:, 1] + 0.3 * rng.normal(size=60) > 0
+    good, bad = x[y], x[~y]
+    z = (x[:, :3] - x[:, :3].mean(0)) / x[:, :3].std(0)
+    w = np.zeros(3)
+    d = (z[y][:, None] - z[~y][None]).reshape(-1, 3)
+    for _ in range(4000):
+        w += 0.3 * ((d / (1 + np.exp(d @ w))[:, None]).mean(0) - 1e-4 * w)
+    m = quality.fit(good, bad, len(bad) / 60)
+    assert np.corrcoef(m.raw(x), z @ w)[0, 1] > 0.99
+    # the quantile of the scores that splits off the share of rejected documents
+    assert (m.score(x, 0.3) < 0.3).sum() == len(bad)
+
+
+@pytest.mark.parametrize("k", [3, 7])
+def test_decoding_like_loops(k):
+    import numpy as np
+
+    rng = np.random.default_rng(k)
+    c = langid.codewords(k)
+    bits = c.shape[1]
+    m = langid.Ecoc([str(i) for i in range(k)], c, rng.normal(size=(5, bits)), rng.normal(size=bits), rng.uniform(0.1, 1, bits))
+    x = rng.normal(size=(20, 5))
+    best, _, close = m.decode(x)
+    for r in range(20):
+        f = [sum(x[r, i] * m.weights[i, b] for i in range(5)) + m.bias[b] for b in range(bits)]
+        loss = [sum(m.trust[b] * np.log1p(np.exp(-f[b] * c[j, b])) for b in range(bits)) / m.trust.sum() for j in range(k)]
+        assert best[r] == int(np.argmin(loss)) and close[r] == (sorted(loss)[1] - min(loss) < m.margin)
+
+
 @pytest.mark.parametrize("k", [2, 3, 4, 6, 7, 12, 40])
 def test_codewords_differ(k):
     c = langid.codewords(k)
