@@ -4,9 +4,9 @@ Tokens: the words of the text, A-Z in lower case, then one end token. A state em
 and the end as symbols of their own and all rarer words as one symbol, which the word's share among
 the rare words completes; so the model is a distribution over whole texts.
 
-Training: words are counted over all training documents. Baum-Welch starts on a bounded sample and
-goes on with passes over all training documents, whose expected counts are summed by task and then
-across partitions. Training cuts long texts in segments; scoring does not: the scaled forward
+Training: words are counted over all training documents. Baum-Welch starts on a bounded sample of
+segments and goes on with passes over all training documents, whose expected counts are summed by task
+and then across partitions. Training cuts long texts in segments; scoring does not: the scaled forward
 recursion runs over each whole text.
 
 Counts of frequent words (a bounded table) go to the tasks; a document's other words are joined with
@@ -14,11 +14,14 @@ their counts by hash of the word, so the vocabulary is never gathered. Words are
 hash.
 
 A null text counts as empty: it has the end token only. Without training documents the score is the
-base score. Repeated rows give repeated results; extra columns of the input are ignored.
+base score, and an empty table gives no rows. Repeated rows give repeated results, each row for itself; of words with equal counts
+those of the least hash are the frequent ones. doc_id may be of any type and null; further columns of the input are left out,
+whatever their names. A long text takes memory in proportion to its words, as one row.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,9 +38,9 @@ from .tables import hash_share
 STATES = 8
 #: Words, at most, that are symbols of their own; that go to the tasks with their counts.
 SYMBOLS, FREQUENT = 1 << 14, 1 << 18
-#: Training documents, about, on which Baum-Welch starts.
-SAMPLE = 1500
 SEGMENT = 256
+#: Different segments of training documents, about, on which Baum-Welch starts.
+SAMPLE = 2500
 BLOCKS = 64
 
 
@@ -101,19 +104,26 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, documents: int, symbols: int = SYMBOLS, frequent: int = FREQUENT) -> Vocabulary:
-    """The frequent words are all from a count on, chosen such that not more than ``frequent`` have it."""
+    """The frequent words are ``frequent`` ones, or all: those of the highest levels of counts, and of the level that is the last as many
+    as there is room for, by hash."""
     level = F.floor(F.log2("c") * 16)
-    levels = sorted(((r["k"], r["n"], r["s"]) for r in counts.groupBy(level.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("s")).collect()), reverse=True)  # 1024 rows at most
-    taken, least, own = 0, None, 0
+    sums = counts.groupBy(level.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("s"))
+    levels = sorted(((r["k"], r["n"], r["s"]) for r in sums.collect()), reverse=True)  # 1024 rows at most
+    taken, full, last, share = 0, None, None, 0.0
     for k, n, _ in levels:
         if taken + n > frequent:
+            last, share = k, min(1.0, 1.05 * (frequent - taken) / n)
             break
-        taken, least = taken + n, k
-        own = taken if taken <= symbols else own
-    rows = counts.where(level >= least).toArrow() if least is not None else pa.table({"h": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
+        taken, full = taken + n, k
+    wanted = F.lit(False)
+    if full is not None:
+        wanted = wanted | (level >= full)
+    if last is not None:
+        wanted = wanted | ((level == last) & hash_share(F.col("h"), share))
+    rows = counts.where(wanted).toArrow() if levels else pa.table({"h": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
     h, c = rows["h"].to_numpy().astype(np.int64), rows["c"].to_numpy().astype(np.int64)
-    order = np.lexsort((h, -c))
-    return Vocabulary(h[order].view(np.uint64), c[order], own, documents, sum(x[2] for x in levels), sum(x[1] for x in levels))
+    order = np.lexsort((h, -c))[:frequent]
+    return Vocabulary(h[order].view(np.uint64), c[order], min(symbols, len(order)), documents, sum(x[2] for x in levels), sum(x[1] for x in levels))
 
 
 def texts_as_symbols(b: pa.RecordBatch, index: K.HashIndex, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -145,8 +155,11 @@ class Expected:
         self.move, self.start, self.follow = np.zeros((states, states)), np.zeros(states), np.zeros(states)
         self.log = 0.0
 
-    def add(self, m: Hmm, sym: np.ndarray, lengths: np.ndarray, most: int = 2048) -> None:
-        starts, sizes, first = segments(sym, lengths)
+    def add(self, m: Hmm, sym: np.ndarray, lengths: np.ndarray) -> None:
+        self.add_segments(m, sym, *segments(sym, lengths))
+
+    def add_segments(self, m: Hmm, sym: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray, most: int = 2048) -> None:
+        """Segments, longest first: where each starts in sym, its length, whether it begins a text."""
         emit, move = m.emit.astype(np.float32), m.move.astype(np.float32)
         for i in range(0, len(starts), most):
             self._chunk(m, emit, move, sym, starts[i : i + most], sizes[i : i + most], first[i : i + most])
@@ -257,20 +270,30 @@ def train(docs: DataFrame, states: int = STATES, passes: int = 2, sample: int =
     if not n:
         return v, None, counts
 
+    share = min(1.0, sample / (n + v.words / SEGMENT))
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = K.HashIndex(v.hashes)
-        for b in batches:
+        for b in slices_of(batches):
             _, _, counts, sym = texts_as_symbols(b, index, v)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(sym, np.cumsum(counts + 1)[:-1])], pa.binary())], ["s"])
-
-    few = [np.frombuffer(r["s"], np.int32) for r in docs.select("doc_id", "text").where(hash_share(F.col("doc_id"), min(1.0, sample / n))).select("text").mapInArrow(gather, "s binary").collect()]
+            rows = []
+            for start, size, first in zip(*segments(sym, counts + 1), strict=True):
+                raw = sym[start : start + size].tobytes()
+                h = int.from_bytes(hashlib.blake2b(raw, digest_size=8, salt=bytes([bool(first)])).digest(), "little", signed=True)
+                if (h & 0xFFFFFFFF) < share * 2**32:
+                    rows.append((h, bool(first), raw))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary()))], ["h", "first", "s"])
+
+    # equal segments have one hash and count once, so there are about ``sample``, of SEGMENT symbols at most
+    few = docs.select("text").mapInArrow(gather, "h long, first boolean, s binary").dropDuplicates(["h"]).collect()
     m = begin(v.unigram, states)
     if few:
-        few.sort(key=lambda x: (len(x), x.tobytes()))
-        sym, lengths = np.concatenate(few), np.array([len(x) for x in few])
+        few.sort(key=lambda r: (-len(r["s"]), r["h"]))
+        sym = np.concatenate([np.frombuffer(r["s"], np.int32) for r in few])
+        sizes, first = np.array([len(r["s"]) // 4 for r in few]), np.array([r["first"] for r in few])
         for _ in range(sample_steps):
             e = Expected(v.n_symbols, states)
-            e.add(m, sym, lengths)
+            e.add_segments(m, sym, np.cumsum(sizes) - sizes, sizes, first)
             m = e.maximised(v.unigram)
     for _ in range(passes):
         m = baum_welch(docs, m, v)
@@ -287,41 +310,50 @@ def score(docs: DataFrame, v: Vocabulary, m: Hmm | None, counts: DataFrame, held
         share = np.append(np.log10((v.counts + 0.5) / denominator), 0.0)
         share[: v.n_symbols] = 0
         end = float(v.base_log(np.array([float(v.documents)]))[0])
+        # a row's number stands for it: rows that repeat stay apart
+        row = np.uint64(TaskContext.get().partitionId()) << np.uint64(40)
         for b in slices_of(batches):
             h, at, words, sym = texts_as_symbols(b, index, v)
+            n = len(words)
+            rid = K.mix(row + np.arange(n, dtype=np.uint64))
+            row += np.uint64(n)
             doc = K.doc_of(words)
-            log = np.bincount(doc, base[at], len(words)) + end
-            model = np.bincount(doc, share[at], len(words)) + (forward(m, sym, words + 1) if m else 0)
-            known = np.bincount(doc[at >= 0], minlength=len(words)) + (v.documents > 0)
-            tag = b.column("tag").to_numpy(zero_copy_only=False)
+            log = np.bincount(doc, base[at], n) + end
+            model = np.bincount(doc, share[at], n) + (forward(m, sym, words + 1) if m else 0)
+            known = np.bincount(doc[at >= 0], minlength=n) + (v.documents > 0)
             rare = at < 0
             order = np.lexsort((h[rare], doc[rare]))
             rh, rd = h[rare][order], doc[rare][order]
             new = np.flatnonzero(np.r_[True, (rh[1:] != rh[:-1]) | (rd[1:] != rd[:-1])]) if len(rh) else np.zeros(0, int)
             times = np.diff(np.append(new, len(rh)))
-            rd = rd[new]
+            k = len(new)
+            with_none = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(k, t)])
             ids = b.column("doc_id")
-            n, k = len(words), len(new)
-            none = lambda t: pa.nulls(k, t)
-            # a document's own row has a hash that no word has, so that it meets nothing in the join
-            yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([ids, ids.take(pa.array(rd))]), pa.array(np.r_[tag, tag[rd]]), pa.array(np.r_[tag, rh[new].view(np.int64)]), pa.array(np.r_[np.zeros(n, np.int64), times]),
-                 pa.concat_arrays([pa.array(words + 1, pa.int64()), none(pa.int64())]), pa.concat_arrays([pa.array(known, pa.int64()), none(pa.int64())]), pa.concat_arrays([pa.array(log, pa.float64()), none(pa.float64())]), pa.concat_arrays([pa.array(model, pa.float64()), none(pa.float64())])],
-                ["doc_id", "tag", "h", "n", "n_tokens", "known", "base", "model"],
-            )
+            columns = {
+                "doc_id": pa.concat_arrays([ids, pa.nulls(k, ids.type)]),
+                "rid": pa.array(np.r_[rid, rid[rd[new]]].view(np.int64)),
+                # a document's own row has a hash that, but for chance, no word has; its n is 0, so that it adds nothing if it meets one
+                "h": pa.array(np.r_[rid, rh[new]].view(np.int64)),
+                "n": pa.array(np.r_[np.zeros(n, np.int64), times]),
+                "n_tokens": with_none(words + 1, pa.int64()),
+                "known": with_none(known, pa.int64()),
+                "base": with_none(log, pa.float64()),
+                "model": with_none(model, pa.float64()),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "text").mapInArrow(run, f"doc_id {kind}, tag long, h long, n long, n_tokens long, known long, base double, model double")
+    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, rid long, h long, n long, n_tokens long, known long, base double, model double")
     c = F.coalesce(F.col("c"), F.lit(0))
     v_all = v.distinct + (v.documents > 0)
     joined = rows.join(counts, "h", "left")
-    copies = F.count("n_tokens")
-    each = joined.groupBy("doc_id", "tag").agg(
-        copies.alias("copies"),
+    each = joined.groupBy("rid").agg(
+        F.first("doc_id", ignorenulls=True).alias("doc_id"),
         F.max("n_tokens").alias("n_tokens"),
-        ((F.sum("known") + F.sum(F.when(c > 0, F.col("n")).otherwise(0))) / copies).cast("long").alias("n_known"),
-        (F.max("base") + F.sum(F.col("n") * F.log10((c + 0.5) / (v.total + 0.5 * (v_all + 1)))) / copies).alias("base_score"),
-        (F.max("model") + F.sum(F.col("n") * F.log10((c + 0.5) / denominator)) / copies).alias("score"),
+        (F.sum("known") + F.sum(F.when(c > 0, F.col("n")).otherwise(0))).cast("long").alias("n_known"),
+        (F.max("base") + F.sum(F.col("n") * F.log10((c + 0.5) / (v.total + 0.5 * (v_all + 1))))).alias("base_score"),
+        (F.max("model") + F.sum(F.col("n") * F.log10((c + 0.5) / denominator))).alias("score"),
     )
-    out = each.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"), "base_score", (F.col("score") if m else F.col("base_score")).alias("score"))
+    train_tokens = F.lit(v.total).cast("long").alias("train_tokens")
+    score_ = (F.col("score") if m else F.col("base_score")).alias("score")
+    return each.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", train_tokens, "base_score", score_)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerwake.llm import hmm
+from ledgerwake.llm import kernels as K
 from ledgerwake.llm.queries import queries
 from ledgerwake.llm.tables import fold, read
 
@@ -53,7 +54,7 @@ def test_a_pass_never_lowers_the_likelihood():
     logs = []
     for _ in range(6):
         e = hmm.Expected(5, 3)
-        e.add(m, sym, lengths, most=16)
+        e.add_segments(m, sym, *hmm.segments(sym, lengths), most=16)
         assert e.emit.sum() == pytest.approx(lengths.sum(), rel=1e-4)
         logs.append(e.log)
         m = e.maximised(np.full(7, 1 / 7), prior=0.0)
@@ -85,7 +86,9 @@ def test_small_vocabulary_splits_words_rightly(spark, monkeypatch):
     assert len(got) == len(rows)
     c = collections.Counter(w for _, t in rows for w in tokens(t))
     words = [w for w in c if w is not None]
-    own = sorted(words, key=lambda w: -c[w])[: v.n_symbols]
+    by_hash = {int(K.words(*K.of_texts([w]))[0][0]): w for w in words}
+    own = [by_hash[int(h)] for h in v.hashes[: v.n_symbols]]
+    assert own[0] == b"z" and set(own) <= {b"z", b"a", b"b"} and len(own) == 2
     rare = sum(c[w] for w in words if w not in own) + 0.5 * (len(words) - len(own) + 1)
     for d, t in set(rows):
         k = tokens(t)
@@ -95,6 +98,25 @@ def test_small_vocabulary_splits_words_rightly(spark, monkeypatch):
         assert mine and all(r["score"] == pytest.approx(want) for r in mine)
 
 
+def test_words_of_equal_counts_fill_the_tables(spark):
+    counts = spark.range(300_000).select(F.xxhash64("id").alias("h"), F.lit(3).cast("long").alias("c"))
+    v = hmm.vocabulary(counts, 10)
+    assert v.n_symbols == hmm.SYMBOLS and len(v.hashes) == hmm.FREQUENT and v.distinct == 300_000 and v.words == 900_000
+    few = hmm.vocabulary(counts.unionByName(spark.range(5).select((-F.col("id") - 1).alias("h"), F.lit(50).cast("long").alias("c"))), 10, 4, 20)
+    assert len(few.hashes) <= 20 and few.counts[:5].tolist() == [50] * 5 and few.n_symbols == 4
+
+
+def test_repeated_rows_long_texts_and_clashing_columns(spark):
+    rows = [("a", "one two one three", 1)] * 500 + [("b", "word other " * 40_000, 2), (None, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, score int")
+    v, m, counts = hmm.train(docs, sample=10, sample_steps=2, passes=1)
+    got = hmm.score(docs, v, m, counts, F.lit(False))
+    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    got = got.collect()
+    assert sorted(collections.Counter((r["doc_id"] or "", r["n_tokens"]) for r in got).items()) == [(("", 1), 1), (("a", 5), 500), (("b", 80_001), 1)]
+    assert len({r["score"] for r in got if r["doc_id"] == "a"}) == 1
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     v, m, counts = hmm.train(docs.limit(0))
