@@ -12,7 +12,9 @@ trees are grown and the descent goes on; after ``MOST_ROUNDS`` all vectors of di
 
 Equal vectors are one node from the start, with their number: copies are not expanded. Vectors that are null, zero,
 or hold null or non-finite components link with nothing; so do vectors of different lengths with each other. A null
-vec_id counts as a vector for the others' links but is no component's name.
+vec_id counts as a vector for the others' links but is no component's name. Repeated rows are copies of each other. Of neighbours
+that are equally near those of the least hash stay in a list; ties at the threshold are links. An empty table gives no rows. vec_id may be
+of any type that has an order; further columns of the input are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,11 @@ the sequence length.
 
 Each task packs blocks of its own rows (``BLOCK`` tokens at most, or one document), so nothing is
 shuffled, memory is bounded, and no histogram meets in the driver; a lost task is run again with the
-same result. Null texts count as empty: they have the end id only.
+same result.
+
+Null texts count as empty: they have the end id only. Repeated rows are packed each for itself; of equal lengths the
+documents go by their order in the task. A long document is a block of its own where it has to be. An empty table gives no
+rows. doc_id may be of any type and null; further columns of the input are left out, whatever their names.
 """
 
 from __future__ import annotations

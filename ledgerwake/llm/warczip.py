@@ -8,12 +8,14 @@ its own gzip member) and ``indexes/index.cdx`` (a line a record: offset, length)
 ``write_archives`` has each task write the records of its rows to archives in the shared folder;
 ``read_archives`` reads them back with a task a share of an archive's index. Files are opened by
 ``pyarrow.fs``, so the folder may be a mounted one or an object store. A task writes to a name of
-its own and moves the file when it is whole; an attempt that was lost leaves nothing that is read.
+its own and moves the file when it is whole; an attempt that was lost leaves nothing that is read. ``s3a`` addresses, as Spark
+has them, are opened as ``s3``; a scheme that pyarrow does not know is an error.
 
 Payloads: of records with equal payloads of at least ``least`` bytes that with the smallest page_id
 is a response, the others are revisits that refer to it; smaller payloads are all responses. Rows
 that repeat the smallest page_id are responses too; a null page_id comes after all others. A null html
-is an empty payload.
+is an empty payload, and an empty table gives no rows. A payload is held whole by the task that writes or reads it, one
+record at a time. page_id must be an integer. Further columns of the input are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .shared import shared_path, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
@@ -39,6 +42,8 @@ ARCHIVE = 128 << 20
 #: Records that one reading task takes at once.
 SHARE = 2000
 SALT = 64
+#: Hadoop's names of schemes that pyarrow has under another one.
+OPENED_AS = {"s3a": "s3", "s3n": "s3"}
 _END, _END64, _LOCATOR, _CENTRAL, _LOCAL = (b"PK" + bytes(x) for x in ((5, 6), (6, 6), (6, 7), (1, 2), (3, 4)))
 _FULL = 0xFFFFFFFF
 
@@ -180,7 +185,10 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")
+    scheme, colon, rest = uri.partition("://")
+    if not colon:
+        return pafs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")
+    return pafs.FileSystem.from_uri(f"{OPENED_AS.get(scheme, scheme)}://{rest}")
 
 
 def typed(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -216,20 +224,20 @@ def write_archives(typed_pages: DataFrame, folder: str, archive: int = ARCHIVE)
             fs.move(f"{base}/.{name}", f"{base}/{name}")
             out.append((f"{folder}/{name}", z.pos, len(lines)))
 
-        for b in batches:
-            for row in b.to_pylist():
-                if z is None:
-                    name, at, lines = f"{uuid.uuid4().hex}.wacz", 0, []
-                    f = fs.open_output_stream(f"{base}/.{name}")
-                    z = ZipWriter(f)
-                    z.begin(DATA)
-                r = record(row["page_id"], row["url"], row["payload"], row["refers_to"], row["revisit"])
-                z.add(r)
-                lines.append(f"{at} {len(r)}\n")
-                at += len(r)
-                if at >= archive:
-                    close()
-                    z = None
+        rows = (r for b in batches for i, j in K.slices(*K.buffers(b.column("payload"))) for r in b.slice(i, j - i).to_pylist())
+        for row in rows:
+            if z is None:
+                name, at, lines = f"{uuid.uuid4().hex}.wacz", 0, []
+                f = fs.open_output_stream(f"{base}/.{name}")
+                z = ZipWriter(f)
+                z.begin(DATA)
+            r = record(row["page_id"], row["url"], row["payload"], row["refers_to"], row["revisit"])
+            z.add(r)
+            lines.append(f"{at} {len(r)}\n")
+            at += len(r)
+            if at >= archive:
+                close()
+                z = None
         if z is not None:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "size", "records"])
