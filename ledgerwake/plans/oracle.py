@@ -370,6 +370,15 @@ def oracle_sql() -> dict[str, str]:
     q["row_count_check"] = _sql("SELECT (SELECT count(*) FROM scores) AS n, (SELECT count(*) FROM accts) AS expected, 1 AS same", longs="n expected same")
     q["sampled_accounts"] = _sql("SELECT account_id FROM accts ORDER BY md5(account_id || ' 42'), account_id LIMIT 100")
     q["first_transactions"] = _sql("SELECT transaction_id, amount FROM txn_b ORDER BY transaction_id LIMIT 50", "amount", "transaction_id")
+    q["parquet_round_trip"] = _sql("SELECT transaction_id, account_id, amount FROM txn_b", "amount", "transaction_id")
+    q["csv_round_trip"] = _sql(q["submission"].body, "is_mule")
+    q["limited_scan"] = _sql("SELECT least(25, count(*)) AS n, least(25, count(*)) AS events FROM events", longs="n events")
+    q["stored_artefacts"] = _sql(
+        f"""SELECT 'scores' AS artefact, count(*) AS rows, 0 AS value FROM scores UNION ALL SELECT 'importances', 1, 0 UNION ALL SELECT 'parameters', 2, 0
+      UNION ALL SELECT 'threshold', 1, threshold FROM ({q["prior_threshold"].body})""",
+        "value",
+        "rows",
+    )
     q["clean_numbers"] = _sql(
         "SELECT account_id, CASE WHEN s1 > 0.3 THEN 0 ELSE s1 END AS zeroed, CASE WHEN s1 > 0.7 THEN 99.5 WHEN s1 > 0.5 THEN -99.5 WHEN s1 > 0.3 THEN 0 ELSE s1 END AS bounded FROM scores", "zeroed bounded"
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache, cached_property
+from functools import cache, cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +15,8 @@ from ..operators import decisions as D
 from ..operators import series as S
 from ..operators import static as M
 from ..operators import target_encoding as E
-from ..sources import Tables
-from ..staging import written, written_all
+from ..sources import Tables, read_parquet, write_csv, write_parquet
+from ..staging import shared_path, written, written_all
 from . import end_to_end as P
 
 #: Parameters that the test tables' dates and values call for.
@@ -465,6 +465,38 @@ def log_volume(t: Tables) -> DataFrame:
     return a.select("account_id", F.log1p("total_volume").alias("log_volume"), F.log1p("total_txns").alias("log_txns"))
 
 
+@query
+def parquet_round_trip(t: Tables) -> DataFrame:
+    """Written by type, and read again by a glob over its folders, three columns of it."""
+    path = shared_path(t.spark, "sink")
+    write_parquet(t.txn_b().select("transaction_id", "account_id", "amount", "channel"), path, ["channel"])
+    return read_parquet(t.spark, f"{path}/channel=*/*.parquet", columns=["transaction_id", "account_id", "amount"])
+
+
+@query
+def csv_round_trip(t: Tables) -> DataFrame:
+    path = shared_path(t.spark, "sink")
+    write_csv(submission(t), path)
+    found = t.spark.read.option("header", True).csv(path)
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("suspicious_start", "suspicious_end")]
+    return found.select("account_id", F.col("is_mule").cast("double"), *text)
+
+
+@query
+def limited_scan(t: Tables) -> DataFrame:
+    return read_parquet(t.spark, f"{t.path}/events.parquet", columns=["event_id"], rows=25, with_part=True).agg(F.count("part").alias("n"), F.countDistinct("event_id").alias("events"))
+
+
+@query
+def stored_artefacts(t: Tables) -> DataFrame:
+    """Scores, importances, threshold and parameters of a run, stored and read again: the rows of each, and the threshold."""
+    path, spark = shared_path(t.spark, "artefacts"), t.spark
+    P.artefacts(scored(t), spark.createDataFrame([("total_volume", 0.5)], "feature string, importance double"), path, {"trees": str(TREES), "depth": str(DEPTH)})
+    read = lambda name: read_parquet(spark, f"{path}/{name}")
+    rows = [read(n).agg(F.lit(n).alias("artefact"), F.count(F.lit(1)).alias("rows"), F.lit(0.0).alias("value")) for n in ("scores", "importances", "parameters")]
+    return reduce(DataFrame.unionByName, [*rows, read("threshold").select(F.lit("threshold").alias("artefact"), F.lit(1).cast("bigint").alias("rows"), F.col("threshold").alias("value"))])
+
+
 #: The size of the models that queries train.
 TREES, DEPTH = 8, 4
 
