@@ -137,7 +137,10 @@ def compare_to_next(docs: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
                 p = part_of(k, d)
                 if p not in best or (k, d) > best[p]:
                     best[p] = (k, d)
-        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([x[0] for x in best.values()], pa.int64()), pa.array([x[1] for x in best.values()])], ["part", "k", "d"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(best), pa.int32()), pa.array([x[0] for x in best.values()], pa.int64()), pa.array([x[1] for x in best.values()])],
+            ["part", "k", "d"],
+        )
 
     first = own.select(key.alias("k"), digest.alias("d")).mapInArrow(heads, "part int, k long, d string")
     # one row a range
@@ -168,7 +171,9 @@ def compare_to_next(docs: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
                 }
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    sent = own.select(key.alias("k"), "doc_id", digest.alias("d"), "text").mapInArrow(compress, "part int, sentinel boolean, k long, doc_id long, d string, f binary, z binary")
+    sent = own.select(key.alias("k"), "doc_id", digest.alias("d"), "text").mapInArrow(
+        compress, "part int, sentinel boolean, k long, doc_id long, d string, f binary, z binary",
+    )
     # by the number of the range itself, not by its hash: a task has one range
     dealt = sent.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "sentinel", F.desc("k"), F.desc("d"))
 
@@ -213,4 +218,7 @@ def compare_to_next(docs: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
         if out:
             yield flush()
 
-    return dealt.mapInArrow(edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(
+        edit,
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    )

@@ -256,13 +256,18 @@ def baum_welch(docs: DataFrame, m: Hmm, v: Vocabulary) -> Hmm:
             e.add(m, sym, counts + 1)
         pid = TaskContext.get().partitionId()
         blocks = np.array_split(e.vector(), BLOCKS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([pid % 32] * BLOCKS, pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], ["block", "part", "v"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(BLOCKS), pa.int32()), pa.array([pid % 32] * BLOCKS, pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())],
+            ["block", "part", "v"],
+        )
 
     rows = _summed(docs.select("text").mapInArrow(run, "block int, part int, v binary")).collect()  # BLOCKS rows, whatever the corpus
     return Expected.of(np.concatenate([np.frombuffer(r["v"], np.float64) for r in sorted(rows, key=lambda r: r["block"])]), v.unigram, states)
 
 
-def train(docs: DataFrame, states: int = STATES, passes: int = 2, sample: int = SAMPLE, sample_steps: int = 25) -> tuple[Vocabulary, Hmm | None, DataFrame]:
+def train(
+    docs: DataFrame, states: int = STATES, passes: int = 2, sample: int = SAMPLE, sample_steps: int = 25,
+) -> tuple[Vocabulary, Hmm | None, DataFrame]:
     """(vocabulary, model, the table h, c of all words' counts)"""
     n = docs.count()
     counts = count_words(docs)
@@ -282,7 +287,10 @@ def train(docs: DataFrame, states: int = STATES, passes: int = 2, sample: int =
                 h = int.from_bytes(hashlib.blake2b(raw, digest_size=8, salt=bytes([bool(first)])).digest(), "little", signed=True)
                 if (h & 0xFFFFFFFF) < share * 2**32:
                     rows.append((h, bool(first), raw))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary()))], ["h", "first", "s"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary()))],
+                ["h", "first", "s"],
+            )
 
     # equal segments have one hash and count once, so there are about ``sample``, of SEGMENT symbols at most
     few = docs.select("text").mapInArrow(gather, "h long, first boolean, s binary").dropDuplicates(["h"]).collect()
@@ -343,7 +351,9 @@ def score(docs: DataFrame, v: Vocabulary, m: Hmm | None, counts: DataFrame, held
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, rid long, h long, n long, n_tokens long, known long, base double, model double")
+    rows = docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, rid long, h long, n long, n_tokens long, known long, base double, model double",
+    )
     c = F.coalesce(F.col("c"), F.lit(0))
     v_all = v.distinct + (v.documents > 0)
     joined = rows.join(counts, "h", "left")

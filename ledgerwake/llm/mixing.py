@@ -100,7 +100,10 @@ def solved(sizes: DataFrame, sources: DataFrame, most: float) -> DataFrame:
         own = sizes.where("size > 0").join(state.select(F.col("source").alias("s"), "x"), F.col("source").eqNullSafe(F.col("s")))
         r = tilt(F.col("x"), F.col("size"), most)
         free = F.col("x") * F.col("size") < math.log(most)
-        sums = own.groupBy("s").agg(F.sum(F.col("n") * F.col("size") * r).alias("words"), F.sum(F.when(free, F.col("n") * F.col("size") * F.col("size") * r)).alias("slope"))
+        sums = own.groupBy("s").agg(
+            F.sum(F.col("n") * F.col("size") * r).alias("words"),
+            F.sum(F.when(free, F.col("n") * F.col("size") * F.col("size") * r)).alias("slope"),
+        )
         now = state.join(sums, F.col("source").eqNullSafe(F.col("s"))).withColumn("off", F.col("words") - F.col("target"))
         low, high = F.when(F.col("off") < 0, F.col("x")).otherwise(F.col("low")), F.when(F.col("off") > 0, F.col("x")).otherwise(F.col("high"))
         next_ = F.col("x") - F.col("off") / F.col("slope")
@@ -109,7 +112,10 @@ def solved(sizes: DataFrame, sources: DataFrame, most: float) -> DataFrame:
         x = F.when(done, F.col("x")).when(inside, next_).otherwise((low + high) / 2)
         # no number between the ends: nothing is closer
         still = ~done & (x != low) & (x != high)
-        state = written(now.select("source", "source_size", "target", low.alias("low"), high.alias("high"), x.alias("x"), still.alias("still")), "mix-newton")
+        state = written(
+            now.select("source", "source_size", "target", low.alias("low"), high.alias("high"), x.alias("x"), still.alias("still")),
+            "mix-newton",
+        )
         if state.where("still").isEmpty():
             return state.select("source", "source_size", "target", "x")
     raise RuntimeError(f"mixing: no solution after {MOST_STEPS} steps")
@@ -119,7 +125,10 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), mo
     """source, source_size -> and weight, target. One row a source; the water level that caps share is found in closed form."""
     # Sources get capped in the order of most * size / weight. With the first j capped, the level is
     # (total - their caps) / (the others' weights), and j is the least one whose level the next source bears.
-    ranked = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1) % len(weights) + 1))
+    ranked = sources.withColumn(
+        "weight",
+        F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1) % len(weights) + 1),
+    )
     by = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").isNull(), F.col("source"))
     every = Window.partitionBy()
     before = by.rowsBetween(Window.unboundedPreceding, -1)
@@ -152,14 +161,18 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: fl
     need = need.select("s", (F.round("target").cast("long") - F.col("whole")).alias("missing")).where("missing > 0")
     running = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     reached = parts.withColumn("before", F.coalesce(F.sum("free").over(running), F.lit(0))).join(need, same("source", "s"))
-    hit = reached.where("before < missing and missing <= before + free").select("s", F.col("part").alias("p"), (F.col("missing") - F.col("before")).alias("rest"))
+    hit = reached.where("before < missing and missing <= before + free").select(
+        "s", F.col("part").alias("p"), (F.col("missing") - F.col("before")).alias("rest"),
+    )
     hit = written(hit, "mix-edges")
     # one range a source: its documents, a small share of the source's
     near = placed.withColumn("part", part).join(hit, same("source", "s") & (F.col("part") == F.col("p"))).groupBy("s", "rest", "v").agg(F.sum(free).alias("size"))
     upto = Window.partitionBy("s").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     edge = near.withColumn("sum", F.coalesce(F.sum("size").over(upto), F.lit(0))).where("sum < rest and rest <= sum + size")
     edge = edge.select("s", F.col("v").alias("edge"), (F.col("rest") - F.col("sum")).alias("numerator"), F.col("size").alias("denominator"))
-    all_sources = sources.select("source", "source_size", "target").join(tilts.select(F.col("source").alias("t"), "x"), same("source", "t"), "left").drop("t")
+    all_sources = sources.select("source", "source_size", "target").join(
+        tilts.select(F.col("source").alias("t"), "x"), same("source", "t"), "left",
+    ).drop("t")
     return written(all_sources.join(edge, same("source", "s"), "left").drop("s"), "mix-plan")
 
 
@@ -186,15 +199,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: flo
     extra = F.when(F.col("grain") >= int(most * (1 << GRAIN)), 0).when(F.col("v") < F.col("_edge"), F.col("size")).when(F.col("v") == F.col("_edge"), part).otherwise(0)
     taken = (F.shiftright("grain", GRAIN) * F.col("size") + extra).cast("long")
     rate = F.col("grain") / F.lit(float(1 << GRAIN))
-    return joined.select("row.*", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), rate.alias("rate"), taken.alias("taken"))
+    return joined.select(
+        "row.*", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), rate.alias("rate"),
+        taken.alias("taken"),
+    )
 
 
 def copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The documents that the mix consists of: one row a copy, ``columns`` only; a cut copy has the text's first words."""
     full = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0)
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
-    cut = F.array_join(F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.greatest(F.col("_n"), F.lit(1)).cast("int")), " ")
-    rows = mixed.withColumn("_rest", rest).withColumn("_n", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), full.cast("int")), F.when(F.col("_rest") > 0, F.array("_rest")).otherwise(F.array().cast("array<bigint>")))))
+    cut = F.array_join(
+        F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.greatest(F.col("_n"), F.lit(1)).cast("int")),
+        " ",
+    )
+    rows = mixed.withColumn("_rest", rest).withColumn(
+        "_n",
+        F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), full.cast("int")), F.when(F.col("_rest") > 0, F.array("_rest")).otherwise(F.array().cast("array<bigint>")))),
+    )
     rows = rows.withColumn("text", F.when(F.col("_n") >= 0, cut).otherwise(F.col("text")))
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_n") >= 0, F.length("text")).otherwise(F.col("n_chars")).cast(dict(mixed.dtypes)["n_chars"]))

@@ -79,7 +79,10 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
         pack = zstandard.ZstdCompressor(level=1)
         blocks = [pack.compress(x.tobytes()) for x in np.split(total, BLOCKS)]
         own = TaskContext.get().partitionId() % 64
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([own] * BLOCKS, pa.int32()), pa.array(blocks, pa.binary())], ["block", "part", "z"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(BLOCKS), pa.int32()), pa.array([own] * BLOCKS, pa.int32()), pa.array(blocks, pa.binary())],
+            ["block", "part", "z"],
+        )
 
     n = docs.count()
     out = np.zeros(CELLS, np.uint64)
@@ -211,7 +214,10 @@ def signed(docs: DataFrame, weights: Weights) -> DataFrame:
                 z: list = [None] * (j - i)
                 for k, x in enumerate(first.tolist()):
                     keys[x], masses[x], z[x] = h[k] if counts[k] else [], mass[k], pack.compress(lines[k])
-                yield pa.RecordBatch.from_arrays([part.column("t"), part.column("doc_id"), pa.array(keys, pa.list_(pa.int64())), pa.array(masses, pa.float64()), pa.array(z, pa.binary())], ["t", "doc_id", "bands", "mass", "z"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("t"), part.column("doc_id"), pa.array(keys, pa.list_(pa.int64())), pa.array(masses, pa.float64()), pa.array(z, pa.binary())],
+                    ["t", "doc_id", "bands", "mass", "z"],
+                )
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select(text_id().alias("t"), "doc_id", "text").mapInArrow(run, f"t long, doc_id {kind}, bands array<long>, mass double, z binary")
@@ -302,7 +308,10 @@ def _rare(texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
                 rest = mass[doc] - (done - done[(np.cumsum(counts) - counts)[doc]])
                 k = np.flatnonzero(rest >= (threshold - 1e-6) * mass[doc])
                 of = pa.array(doc[k])
-                yield pa.RecordBatch.from_arrays([part.column("t").take(of), part.column("c").take(of), pa.array(mass[doc[k]]), pa.array(s[k].view(np.int64)), pa.array(rest[k])], ["t", "c", "mass", "token", "rest"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("t").take(of), part.column("c").take(of), pa.array(mass[doc[k]]), pa.array(s[k].view(np.int64)), pa.array(rest[k])],
+                    ["t", "c", "mass", "token", "rest"],
+                )
 
     return texts.mapInArrow(run, "t long, c long, mass double, token long, rest double")
 
@@ -318,7 +327,9 @@ def _left(crowd: DataFrame, table: DataFrame, weights: Weights, threshold: float
     per = rare.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
     largest = per.groupBy("token").agg(F.max(F.struct("k", "c")).alias("p"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     several = written(rare.join(written(largest.select("token", F.col("p.c").alias("pc")), "near-shared"), "token"), "near-several")
-    other = several.where("c != pc").select("token", F.col("t").alias("o"), F.col("c").alias("co"), F.col("mass").alias("mo"), F.col("rest").alias("ro"))
+    other = several.where("c != pc").select(
+        "token", F.col("t").alias("o"), F.col("c").alias("co"), F.col("mass").alias("mo"), F.col("rest").alias("ro"),
+    )
     enough = F.least("rest", "ro") * (1 + threshold) >= (F.col("mass") + F.col("mo")) * (threshold - 1e-6)
     # two others are met from both sides: one is enough
     met = several.join(other, "token").where((F.col("c") != F.col("co")) & enough & ((F.col("c") == F.col("pc")) | (F.col("t") < F.col("o"))))

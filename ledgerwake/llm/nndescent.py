@@ -47,7 +47,9 @@ _EDGES = "a long, b long, s float"
 def nodes_of(table: DataFrame) -> DataFrame:
     """g (hash of the vector), x (its components as doubles), copies: the different valid vectors."""
     x = F.col("embedding").cast("array<double>")
-    valid = F.col("embedding").isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
+    valid = F.col("embedding").isNotNull() & F.forall(
+        x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")),
+    ) & F.exists(x, lambda v: v != 0)
     return table.where(valid).select(node_id().alias("g"), x.alias("x")).groupBy("g").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("copies"))
 
 
@@ -81,7 +83,10 @@ def units(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for b in _by_length(batch):
                 u = unit(matrix(b.column("x"))).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(np.full(len(u), u.shape[1]), pa.int32()), pa.array([r.tobytes() for r in u], pa.binary())], ["g", "dim", "u"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("g"), pa.array(np.full(len(u), u.shape[1]), pa.int32()), pa.array([r.tobytes() for r in u], pa.binary())],
+                    ["g", "dim", "u"],
+                )
 
     return nodes.select("g", "x").mapInArrow(run, "g long, dim int, u binary")
 
@@ -183,7 +188,10 @@ def enlarged(member: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
     size = member.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     rows = member.join(nodes, F.col("node") == F.col("g")).join(size, "component").withColumn("of", F.ceil(F.col("n") / BLOCK)).withColumn("i", F.pmod(F.xxhash64("g"), F.col("of")))
     tiles = rows.select("component", "g", "x", "copies", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("j"))
-    tiles = tiles.select("component", F.greatest("i", "j").alias("hi"), F.least("i", "j").alias("lo"), (F.col("i") >= F.col("j")).alias("upper"), "g", "x", "copies")
+    tiles = tiles.select(
+        "component", F.greatest("i", "j").alias("hi"), F.least("i", "j").alias("lo"), (F.col("i") >= F.col("j")).alias("upper"),
+        "g", "x", "copies",
+    )
 
     def run(t: pa.Table) -> pa.Table:
         g, x, m, upper = t["g"].to_numpy(), unit(matrix(t["x"].combine_chunks())), t["copies"].to_numpy(), t["upper"].to_numpy()
@@ -205,7 +213,10 @@ def bridges(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
     cut = rows.join(size.select("key", F.ceil(F.col("n") / block).alias("of")), "key").withColumn("i", F.pmod(F.xxhash64("g"), F.col("of")))
     tiles = cut.select("key", "c", "g", "x", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("j"))
-    tiles = tiles.select("key", F.greatest("i", "j").alias("hi"), F.least("i", "j").alias("lo"), (F.col("i") >= F.col("j")).alias("upper"), "c", "g", "x")
+    tiles = tiles.select(
+        "key", F.greatest("i", "j").alias("hi"), F.least("i", "j").alias("lo"), (F.col("i") >= F.col("j")).alias("upper"), "c",
+        "g", "x",
+    )
 
     def run(t: pa.Table) -> pa.Table:
         own = t["hi"][0].as_py() == t["lo"][0].as_py()
@@ -313,10 +324,18 @@ def link(table: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, ste
         rest = bridges(named(nodes, member).withColumn("key", F.lit(0)), threshold, 8 * BLOCK)
         member = written(components(written(links.unionByName(rest), "vector-links")), "vector-components")
     more = enlarged(member, nodes, threshold)
-    facts = nodes.select("g", "copies").join(more, "g", "left").join(member, F.col("g") == F.col("node"), "left").select("g", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "g").alias("c"))
+    facts = nodes.select("g", "copies").join(more, "g", "left").join(member, F.col("g") == F.col("node"), "left").select(
+        "g", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "g").alias("c"),
+    )
     facts = written(facts, "vector-facts")
     # a vector that is not valid is no node
-    rows = written(table.select("vec_id", F.when(F.col("embedding").isNotNull(), node_id()).alias("_g")).join(facts, F.col("_g") == F.col("g"), "left"), "vector-rows")
+    rows = written(
+        table.select("vec_id", F.when(F.col("embedding").isNotNull(), node_id()).alias("_g")).join(facts, F.col("_g") == F.col("g"), "left"),
+        "vector-rows",
+    )
     least = rows.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("vec_id").alias("component_id"))
-    done = rows.join(least, "c", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    done = rows.join(least, "c", "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("component_id", "vec_id").alias("component_id"),
+    )
     return done.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

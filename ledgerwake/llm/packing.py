@@ -270,7 +270,11 @@ def pack(docs: DataFrame, path: str, end: int = 1, size: int = SIZE, block: int
         p = pack_lengths(n, size)
         views = [memoryview(x) for x in ids]
         spans = [views[d][4 * s : 4 * (s + k)] for d, s, k in zip(p["doc"].tolist(), p["start"].tolist(), p["length"].tolist(), strict=True)]
-        cols = [pa.array([doc_ids[d] for d in p["doc"].tolist()], kind), pa.array(p["start"]), pa.array(p["length"]), pa.array([zlib.crc32(x) for x in spans], pa.int64()), pa.array(n[p["doc"]]), pa.array((pid << 40) + first + p["sequence"]), pa.array(p["offset"])]
+        cols = [
+            pa.array([doc_ids[d] for d in p["doc"].tolist()], kind), pa.array(p["start"]), pa.array(p["length"]),
+            pa.array([zlib.crc32(x) for x in spans], pa.int64()), pa.array(n[p["doc"]]),
+            pa.array((pid << 40) + first + p["sequence"]), pa.array(p["offset"]),
+        ]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         if with_ids:
             cols.append(pa.array([x.tobytes() for x in spans], pa.binary()))

@@ -159,7 +159,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if revisit else head + payload
     uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    fields = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest} {uri}')}>", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    fields = [
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest} {uri}')}>",
+        "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}",
+        "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
+    ]
     if page_id is not None:
         fields.append(f"X-Page-ID: {page_id}")
     if revisit:
@@ -196,9 +201,13 @@ def typed(pages: DataFrame, least: int = 0) -> DataFrame:
     before the shuffle; only groups of two and more are joined back, dealt over ``SALT`` parts, so that no group meets in one task."""
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     keys = p.select("page_id", F.sha1("payload").alias("digest"), F.length("payload").alias("n")).where(F.col("n") >= least)
-    first = keys.groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("digest", "n", "first")
+    first = keys.groupBy("digest", "n").agg(
+        F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows"),
+    ).where("rows > 1").select("digest", "n", "first")
     first = written(first, "warc-groups").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    d = p.withColumn("digest", F.sha1("payload")).withColumn("n", F.length("payload")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
+    d = p.withColumn("digest", F.sha1("payload")).withColumn("n", F.length("payload")).withColumn(
+        "salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"),
+    )
     out = d.join(first, ["digest", "n", "salt"], "left")
     revisit = F.coalesce(F.col("first") != F.col("page_id"), F.col("first").isNotNull())
     return out.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
@@ -240,7 +249,10 @@ def write_archives(typed_pages: DataFrame, folder: str, archive: int = ARCHIVE)
                 z = None
         if z is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "size", "records"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))],
+            ["path", "size", "records"],
+        )
 
     # written: the archives are made once, however often they are read
     return written(typed_pages.mapInArrow(run, "path string, size long, records long"), "warc-archives")
@@ -262,7 +274,10 @@ def read_archives(archives: DataFrame, share: int = SHARE) -> DataFrame:
                         if line:
                             offset, length = map(int, line.split())
                             fields, http, body = parse(z.at(base + offset, length))
-                            size = next((int(x.split(b":")[1]) for x in http.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")), len(body))
+                            size = next(
+                                (int(x.split(b":")[1]) for x in http.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")),
+                                len(body),
+                            )
                             page, refers = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
                             kind = fields["warc-type"]
                             digest = fields["warc-payload-digest"].removeprefix("sha1:")
@@ -280,10 +295,16 @@ def read_archives(archives: DataFrame, share: int = SHARE) -> DataFrame:
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], names)
 
-    parts = archives.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("records") - 1, F.lit(0)), F.lit(share).cast("long"))).alias("first"))
+    parts = archives.select(
+        "path",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("records") - 1, F.lit(0)), F.lit(share).cast("long"))).alias("first"),
+    )
     n = max(1, archives.sparkSession.sparkContext.defaultParallelism)
     parts = parts.repartition(max(n, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path", "first")
-    return parts.mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return parts.mapInArrow(
+        run,
+        "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long",
+    )
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:

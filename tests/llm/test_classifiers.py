@@ -11,7 +11,9 @@ MEDIUM = "/root/testdata/sf0.01"
 def test_quality_on_held_out_labels(spark):
     got = queries()["op1_quality_classifier"](spark, MEDIUM)
     assert got.columns == ["doc_id", "held_out", "score", "predicted"]
-    r = got.join(read(spark, MEDIUM, "labels"), "doc_id").where("held_out").agg(F.avg((F.col("predicted") == F.col("quality")).cast("int")), F.count("*")).first()
+    r = got.join(read(spark, MEDIUM, "labels"), "doc_id").where("held_out").agg(
+        F.avg((F.col("predicted") == F.col("quality")).cast("int")), F.count("*"),
+    ).first()
     assert r[0] >= 0.97 and r[1] > 50
     assert got.count() == read(spark, MEDIUM, "documents").count()
     assert got.where("(score >= 0.3) != (predicted = 1) or score < 0 or score > 1 or score is null").count() == 0
@@ -25,7 +27,11 @@ def test_language_on_held_out_labels(spark):
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    rows = [(1, "plain words of a text", "en", "clash"), (1, "plain words of a text", "en", "clash"), (2, None, "en", None), (3, "", "de", "x"), (4, "123 !!! ...", None, "x"), (None, "SHOUT! SHOUT! SHOUT!", "en", "x"), (6, "wort " * 60_000, "de", "x")]
+    rows = [
+        (1, "plain words of a text", "en", "clash"), (1, "plain words of a text", "en", "clash"), (2, None, "en", None),
+        (3, "", "de", "x"), (4, "123 !!! ...", None, "x"), (None, "SHOUT! SHOUT! SHOUT!", "en", "x"),
+        (6, "wort " * 60_000, "de", "x"),
+    ]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
 
 
@@ -56,7 +62,10 @@ def test_language_of_odd_rows(spark, odd):
 
 
 def test_a_language_of_repeated_rows_is_learned(spark):
-    words = {"fr": "le chat dort sous la table et rêve", "en": "the cat sleeps under a table and dreams", "de": "die Katze schläft unter dem Tisch und träumt"}
+    words = {
+        "fr": "le chat dort sous la table et rêve", "en": "the cat sleeps under a table and dreams",
+        "de": "die Katze schläft unter dem Tisch und träumt",
+    }
     rows = [(7, words["fr"], "fr")] * 3000 + [(i, f"{words[k]} {i}", k) for i in range(400) for k in ("en", "de")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     picked = langid.sampled(docs, 300).groupBy("lang").agg(F.count("text").alias("n"), F.countDistinct("text").alias("d")).collect()

@@ -40,7 +40,10 @@ def test_edits_and_likeness(spark, small):
     assert np.mean(off) < 0.03
 
 
-ROWS = [(1, "a b c d e f"), (2, None), (None, "x"), (2, None), (5, ""), (5, "zz y"), (None, "x"), (7, "one two three four five six seven " * 50), (8, "日本語 🙂 é" * 20)]
+ROWS = [
+    (1, "a b c d e f"), (2, None), (None, "x"), (2, None), (5, ""), (5, "zz y"), (None, "x"),
+    (7, "one two three four five six seven " * 50), (8, "日本語 🙂 é" * 20),
+]
 
 
 @pytest.mark.parametrize("rows", [ROWS, ROWS[:1], ROWS[1:2], [(3, "same text here")] * 9, [(i, f"text {i} of many") for i in range(500)]])

@@ -24,7 +24,10 @@ def targets_by_hand(sizes, weights=(1, 2, 3), most=3):
             capped[s] = most * sizes[s]
 
 
-CASES = [{"a": 10, "b": 1000, "c": 5}, {"a": 0, "b": 7}, {"é": 100, "z": 3, None: 50, "Z": 1, "": 9}, {"a": 5}, {"a": 0}, {f"s{i}": i * i for i in range(30)}]
+CASES = [
+    {"a": 10, "b": 1000, "c": 5}, {"a": 0, "b": 7}, {"é": 100, "z": 3, None: 50, "Z": 1, "": 9}, {"a": 5}, {"a": 0},
+    {f"s{i}": i * i for i in range(30)},
+]
 
 
 @pytest.mark.parametrize("sizes", CASES)

@@ -110,7 +110,10 @@ def test_pairs_in_a_bucket_that_is_another_groups(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(1, None), (2, ""), (3, "one two"), (4, "one two"), (4, "one two"), (5, "ONE two"), (6, "two one"), (None, "one two"), (None, "z"), (8, "w " * 20_000), (9, "w " * 20_001), (10, " \n")]
+    rows = [
+        (1, None), (2, ""), (3, "one two"), (4, "one two"), (4, "one two"), (5, "ONE two"), (6, "two one"), (None, "one two"),
+        (None, "z"), (8, "w " * 20_000), (9, "w " * 20_001), (10, " \n"),
+    ]
     want, docs = brute(spark, rows)
     assert found(docs) == want
     kept = N.deduplicated(docs.selectExpr("*", "doc_id as t", "'x' as class_id", "1 as _t0")).collect()
@@ -119,7 +122,10 @@ def test_odd_rows(spark):
 
 
 def test_one_row_of_each_class_is_kept(spark):
-    rows = [("b", "one two", 1), ("b", "one two", 2), ("b", "one two", 2), ("c", "one two", 3), ("d", "three", 4), (None, "four", 5), (None, "four", 6)]
+    rows = [
+        ("b", "one two", 1), ("b", "one two", 2), ("b", "one two", 2), ("c", "one two", 3), ("d", "three", 4), (None, "four", 5),
+        (None, "four", 6),
+    ]
     docs = spark.createDataFrame(rows, "doc_id string, text string, rid int")
     got = N.classes(docs).collect()
     assert sorted((str(r["class_id"]), r["class_size"]) for r in got if r["kept"]) == [("None", 2), ("b", 4), ("d", 1)] and len(got) == 7

@@ -14,7 +14,11 @@ from ledgerwake.llm.tokencount import MergeCounter, count_tokens, merged
 
 PATH = tokenizer_path()
 LIB = Tokenizer.from_file(PATH)
-ODD = ["", " ", "a<|endoftext|>b <|startoftext|>", "I'll don't 'S ΑΣ ΣΑΣ İstanbul", "\x1ca\x1db", "é é 日本語 ½ ٣ a​b", "🙂🙂 'LL 'RE", "a b　c", "x" * 5000, "<|ENDOFTEXT|>", "\x85 \x00", "ǅ ﬁ ß ẞ", "<|endoftext|>,", "a|b | |", "Foo, BAR! Ünï. ª.", "'s. o'... D'."]
+ODD = [
+    "", " ", "a<|endoftext|>b <|startoftext|>", "I'll don't 'S ΑΣ ΣΑΣ İstanbul", "\x1ca\x1db", "é é 日本語 ½ ٣ a​b", "🙂🙂 'LL 'RE",
+    "a b　c", "x" * 5000, "<|ENDOFTEXT|>", "\x85 \x00", "ǅ ﬁ ß ẞ", "<|endoftext|>,", "a|b | |", "Foo, BAR! Ünï. ª.",
+    "'s. o'... D'.",
+]
 
 
 def ids(t):

@@ -39,7 +39,10 @@ def test_odd_vectors(spark):
     base = rng.standard_normal(8)
     table = [(i, (base + rng.standard_normal(8) * 0.25).tolist()) for i in range(40)] + [(100 + i, rng.standard_normal(8).tolist()) for i in range(40)]
     table += [(200 + i, [1.0] * 8) for i in range(50)] + [(250, [2.0] * 8), (251, [1e300] * 8), (252, [1e-300] * 8)]
-    table += [(300, None), (301, [0.0] * 8), (302, [float("nan")] + [1.0] * 7), (303, [None] + [1.0] * 7), (304, [float("inf")] * 8), (305, []), (306, [1.0, 1.0]), (307, [1.0, 1.0]), (307, [1.0, 1.0]), (None, [1.0] * 8)]
+    table += [
+        (300, None), (301, [0.0] * 8), (302, [float("nan")] + [1.0] * 7), (303, [None] + [1.0] * 7), (304, [float("inf")] * 8),
+        (305, []), (306, [1.0, 1.0]), (307, [1.0, 1.0]), (307, [1.0, 1.0]), (None, [1.0] * 8),
+    ]
     want = brute([(k, None if v is None else [c / 1e299 if c and abs(c) > 1e200 and np.isfinite(c) else c * 1e299 if c and abs(c) < 1e-200 else c for c in v]) for k, v in table])
     assert found(spark, table) == want
 
