@@ -16,7 +16,10 @@ def of_accounts(txns: DataFrame, accounts: DataFrame) -> DataFrame:
     return txns.join(accounts.select("account_id").distinct(), "account_id", "left_semi")
 
 
-def _by_values(txns: DataFrame, keys: list[str], sums: dict[str, Column], lows: dict[str, Column] | None = None, highs: dict[str, Column] | None = None) -> DataFrame:
+def _by_values(
+    txns: DataFrame, keys: list[str], sums: dict[str, Column], lows: dict[str, Column] | None = None,
+    highs: dict[str, Column] | None = None,
+) -> DataFrame:
     """account_id, sums, minima, maxima, and n_<key>, the number of different values (null is one) of each key.
 
     Aggregated by account and keys first, so that the distinct counts multiply only what that leaves of the rows.
@@ -31,7 +34,8 @@ def txn_basic(txns: DataFrame) -> DataFrame:
     size, credit, debit = F.abs("amount"), F.col("txn_type") == "C", F.col("txn_type") == "D"
     sums = {
         "total_volume": zsum(size), "sum_sq_amount": zsum(size * size), "total_txns": count_all(), "reversal_count": F.count_if(F.col("amount") < 0),
-        "credit_count": F.count_if(credit), "debit_count": F.count_if(debit), "credit_volume": sum_if(credit, size), "debit_volume": sum_if(debit, size),
+        "credit_count": F.count_if(credit), "debit_count": F.count_if(debit), "credit_volume": sum_if(credit, size),
+        "debit_volume": sum_if(debit, size),
     }
     a = _by_values(txns, ["channel", "counterparty_id"], sums, {"min_txn_amount": F.min(size)}, {"max_txn_amount": F.max(size)})
     a = a.withColumnsRenamed({"n_channel": "n_channels", "n_counterparty_id": "n_counterparties"})
@@ -52,23 +56,28 @@ def balances(joined: DataFrame) -> DataFrame:
     b = F.col("balance_after_transaction")
     a = joined.where(b.isNotNull()).groupBy("account_id").agg(
         F.stddev_samp(b).alias("balance_std"), F.min(b).alias("balance_min"), F.max(b).alias("balance_max"), F.avg(b).alias("balance_mean"),
-        F.count_if(F.abs(b) < 100).alias("near_zero_balance_count"), F.count_if(b < 0).alias("negative_balance_count"), count_all().alias("n_balance_txns"),
+        F.count_if(F.abs(b) < 100).alias("near_zero_balance_count"), F.count_if(b < 0).alias("negative_balance_count"),
+        count_all().alias("n_balance_txns"),
     )
     return a.select(
-        "*", (F.col("balance_max") - F.col("balance_min")).alias("balance_range"), ratio("near_zero_balance_count", "n_balance_txns").alias("near_zero_ratio"),
+        "*", (F.col("balance_max") - F.col("balance_min")).alias("balance_range"),
+        ratio("near_zero_balance_count", "n_balance_txns").alias("near_zero_ratio"),
         (F.col("balance_std") / (F.abs("balance_mean") + EPS)).alias("balance_cv"),
     )
 
 
 def ip_addresses(joined: DataFrame) -> DataFrame:
-    a = joined.where(F.col("ip_address").isNotNull()).groupBy("account_id").agg(F.countDistinct("ip_address").alias("n_unique_ips"), count_all().alias("n_ip_txns"))
+    a = joined.where(F.col("ip_address").isNotNull()).groupBy("account_id").agg(
+        F.countDistinct("ip_address").alias("n_unique_ips"), count_all().alias("n_ip_txns"),
+    )
     return a.withColumn("ip_per_txn_ratio", ratio("n_unique_ips", "n_ip_txns"))
 
 
 def places(joined: DataFrame) -> DataFrame:
     lat, lon = F.col("latitude"), F.col("longitude")
     a = joined.where(lat.isNotNull()).groupBy("account_id").agg(
-        F.stddev_samp(lat).alias("lat_std"), F.stddev_samp(lon).alias("lon_std"), F.min(lat).alias("lat_min"), F.max(lat).alias("lat_max"), F.min(lon).alias("lon_min"), F.max(lon).alias("lon_max"),
+        F.stddev_samp(lat).alias("lat_std"), F.stddev_samp(lon).alias("lon_std"), F.min(lat).alias("lat_min"),
+        F.max(lat).alias("lat_max"), F.min(lon).alias("lon_min"), F.max(lon).alias("lon_max"),
     )
     return a.withColumn("geo_spread", F.sqrt(F.pow(F.col("lat_max") - F.col("lat_min"), 2) + F.pow(F.col("lon_max") - F.col("lon_min"), 2)))
 
@@ -105,7 +114,8 @@ def cp_frequency(txns: DataFrame, accounts: DataFrame) -> DataFrame:
     """How many accounts an account's counterparties deal with."""
     per = txns.groupBy("counterparty_id").agg(nunique("account_id").alias("k"))
     a = txns.select("account_id", "counterparty_id").join(per, "counterparty_id", "left").groupBy("account_id").agg(
-        F.avg("k").alias("cp_freq_mean"), F.max("k").alias("cp_freq_max"), F.min("k").alias("cp_freq_min"), F.stddev_samp("k").alias("cp_freq_std"), F.count_if(F.col("k") == 1).alias("cp_exclusive_cnt"),
+        F.avg("k").alias("cp_freq_mean"), F.max("k").alias("cp_freq_max"), F.min("k").alias("cp_freq_min"),
+        F.stddev_samp("k").alias("cp_freq_std"), F.count_if(F.col("k") == 1).alias("cp_exclusive_cnt"),
     )
     return _all_accounts(accounts, a)
 
@@ -118,7 +128,9 @@ def neighbor_risk(txns: DataFrame, scores: DataFrame) -> DataFrame:
     """Scores (account_id, score) of the accounts that an account deals with."""
     s = scores.where(F.col("account_id").startswith("ACCT")).select(F.col("account_id").alias("counterparty_id"), "score")
     a = txns.where(F.col("counterparty_id").startswith("ACCT")).join(s, "counterparty_id").groupBy("account_id").agg(
-        F.avg("score").alias("neighbor_score_mean"), F.max("score").alias("neighbor_score_max"), F.count("score").alias("neighbor_score_count"), zsum(F.col("score") * F.abs("amount")).alias("neighbor_score_weighted_sum"),
+        F.avg("score").alias("neighbor_score_mean"), F.max("score").alias("neighbor_score_max"),
+        F.count("score").alias("neighbor_score_count"),
+        zsum(F.col("score") * F.abs("amount")).alias("neighbor_score_weighted_sum"),
     )
     return a.withColumn("neighbor_score_weighted_mean", ratio("neighbor_score_weighted_sum", "neighbor_score_count", 1e-3))
 
@@ -128,17 +140,22 @@ def recency(txns: DataFrame, accounts: DataFrame, three_months: str, six_months:
     size, day = F.abs("amount"), F.to_date("ts")
     r3, r6 = day >= F.lit(three_months).cast("date"), day >= F.lit(six_months).cast("date")
     a = txns.groupBy("account_id").agg(
-        zsum(size).alias("v"), count_all().alias("n"), sum_if(r3, size).alias("recent_3m_vol"), F.count_if(r3).alias("recent_3m_txns"), sum_if(r6, size).alias("recent_6m_vol"), F.count_if(r6).alias("recent_6m_txns"),
-        sum_if(r3 & (F.col("amount") > 0), "amount").alias("recent_3m_credit_vol"), sum_if(r3 & (F.col("amount") < 0), size).alias("recent_3m_debit_vol"),
+        zsum(size).alias("v"), count_all().alias("n"), sum_if(r3, size).alias("recent_3m_vol"),
+        F.count_if(r3).alias("recent_3m_txns"), sum_if(r6, size).alias("recent_6m_vol"), F.count_if(r6).alias("recent_6m_txns"),
+        sum_if(r3 & (F.col("amount") > 0), "amount").alias("recent_3m_credit_vol"),
+        sum_if(r3 & (F.col("amount") < 0), size).alias("recent_3m_debit_vol"),
         F.count_if(r3 & is_night("ts")).alias("recent_3m_night_txns"), F.count_if(r3 & (size % 1000 == 0)).alias("recent_3m_round_1k_count"),
         (F.countDistinct(F.when(r3, F.col("counterparty_id"))) + F.max(F.when(r3 & F.col("counterparty_id").isNull(), 1).otherwise(0))).alias("recent_3m_unique_cp"),
     )
     a = _all_accounts(accounts, a)
     n3 = F.col("recent_3m_txns")
     return a.select(
-        "*", ratio("recent_3m_vol", "v").alias("recent_vol_ratio"), ratio(n3, "n", 1).alias("recent_txn_ratio"), (n3 > 0).cast("int").alias("is_active_recent"),
+        "*", ratio("recent_3m_vol", "v").alias("recent_vol_ratio"), ratio(n3, "n", 1).alias("recent_txn_ratio"),
+        (n3 > 0).cast("int").alias("is_active_recent"),
         (F.col("recent_3m_vol") / (F.col("recent_6m_vol") - F.col("recent_3m_vol") + EPS)).alias("vol_acceleration"),
-        ratio("recent_3m_unique_cp", n3, 1).alias("recent_cp_ratio"), ratio("recent_3m_night_txns", n3, 1).alias("recent_night_ratio"), ratio("recent_3m_round_1k_count", n3, 1).alias("recent_round_1k_ratio"),
+        ratio("recent_3m_unique_cp", n3, 1).alias("recent_cp_ratio"),
+        ratio("recent_3m_night_txns", n3, 1).alias("recent_night_ratio"),
+        ratio("recent_3m_round_1k_count", n3, 1).alias("recent_round_1k_ratio"),
     ).drop("v", "n")
 
 
@@ -146,7 +163,8 @@ def temporal_patterns(txns: DataFrame) -> DataFrame:
     """Night, weekend (from Friday on, as it is defined), round and structured amounts."""
     size = F.abs("amount")
     a = txns.groupBy("account_id").agg(
-        count_all().alias("n_txns"), F.count_if(is_night("ts")).alias("night_txn_count"), F.count_if(iso_weekday("ts") >= 5).alias("weekend_txn_count"), F.count_if(size % 1000 == 0).alias("round_1k_count"),
+        count_all().alias("n_txns"), F.count_if(is_night("ts")).alias("night_txn_count"),
+        F.count_if(iso_weekday("ts") >= 5).alias("weekend_txn_count"), F.count_if(size % 1000 == 0).alias("round_1k_count"),
         F.count_if((size >= 45000) & (size < 50000)).alias("structuring_count"), nunique("mcc_code").alias("n_mcc_codes"),
     )
     return a.select("*", *(ratio(f"{k}_count", "n_txns").alias(f"{k}_ratio") for k in ("night_txn", "weekend_txn", "round_1k")))
@@ -155,12 +173,18 @@ def temporal_patterns(txns: DataFrame) -> DataFrame:
 def graph_degree(txns: DataFrame) -> DataFrame:
     """By pair of accounts first, so that degrees are plain counts and no distinct count multiplies the rows."""
     out, into, size = F.col("txn_type") == "D", F.col("txn_type") == "C", F.abs("amount")
-    e = txns.where(F.col("counterparty_id").isNotNull() & (out | into)).groupBy("account_id", "counterparty_id").agg(F.count_if(out).alias("on"), sum_if(out, size).alias("ov"), F.count_if(into).alias("n"), sum_if(into, size).alias("v"))
+    e = txns.where(F.col("counterparty_id").isNotNull() & (out | into)).groupBy("account_id", "counterparty_id").agg(
+        F.count_if(out).alias("on"), sum_if(out, size).alias("ov"), F.count_if(into).alias("n"), sum_if(into, size).alias("v"),
+    )
     a = e.groupBy("account_id").agg(
-        F.count_if(F.col("on") > 0).alias("out_degree"), F.sum("on").alias("out_txn_count"), F.sum("ov").alias("out_volume"), F.count_if(F.col("n") > 0).alias("in_degree"), F.sum("n").alias("in_txn_count"), F.sum("v").alias("in_volume"),
+        F.count_if(F.col("on") > 0).alias("out_degree"), F.sum("on").alias("out_txn_count"), F.sum("ov").alias("out_volume"),
+        F.count_if(F.col("n") > 0).alias("in_degree"), F.sum("n").alias("in_txn_count"), F.sum("v").alias("in_volume"),
     )
     i, o = F.col("in_volume"), F.col("out_volume")
-    return a.select("*", ratio("in_degree", "out_degree", 1).alias("fan_in_out_ratio"), ((i - o) / (i + o + EPS)).alias("volume_asymmetry"), (F.col("in_degree") + F.col("out_degree")).alias("total_degree"))
+    return a.select(
+        "*", ratio("in_degree", "out_degree", 1).alias("fan_in_out_ratio"), ((i - o) / (i + o + EPS)).alias("volume_asymmetry"),
+        (F.col("in_degree") + F.col("out_degree")).alias("total_degree"),
+    )
 
 
 def graph_labels(txns: DataFrame, labels: DataFrame) -> DataFrame:
@@ -173,16 +197,23 @@ def graph_labels(txns: DataFrame, labels: DataFrame) -> DataFrame:
 
     def side(key: str, flag: str, name: str) -> DataFrame:
         hit = F.col(flag) == 1
-        totals = [zsum("v").alias(f"vol_{name}"), F.sum("n").alias(f"txn_{name}"), sum_if(hit, "v").alias(f"vol_{name}_mule"), F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias(f"txn_{name}_mule")]
+        totals = [
+            zsum("v").alias(f"vol_{name}"), F.sum("n").alias(f"txn_{name}"), sum_if(hit, "v").alias(f"vol_{name}_mule"),
+            F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias(f"txn_{name}_mule"),
+        ]
         return e.groupBy(F.col(key).alias("account_id")).agg(*totals)
 
-    sent, received = e.where("cm = 1").select("account_id", F.col("counterparty_id").alias("other")), e.where("am = 1").select(F.col("counterparty_id").alias("account_id"), F.col("account_id").alias("other"))
+    sent, received = e.where("cm = 1").select("account_id", F.col("counterparty_id").alias("other")), e.where("am = 1").select(
+        F.col("counterparty_id").alias("account_id"), F.col("account_id").alias("other"),
+    )
     n = sent.unionByName(received).distinct().groupBy("account_id").agg(count_all().alias("n_mule_counterparties"))
     a = side("account_id", "cm", "sent").join(side("counterparty_id", "am", "recv"), "account_id", "full").join(n, "account_id", "left")
     a = a.select("account_id", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in a.columns if c != "account_id"))
     both = lambda k, m: F.col(f"{k}_sent{m}") + F.col(f"{k}_recv{m}")
     return a.select(
-        "*", *(ratio(f"{k}_{s}_mule", f"{k}_{s}", 1).alias(f"frac_{k}_{s}_mule") for k in ("vol", "txn") for s in ("sent", "recv")), *(ratio(both(k, "_mule"), both(k, ""), 1).alias(f"frac_{k}_mule_total") for k in ("vol", "txn")),
+        "*",
+        *(ratio(f"{k}_{s}_mule", f"{k}_{s}", 1).alias(f"frac_{k}_{s}_mule") for k in ("vol", "txn") for s in ("sent", "recv")),
+        *(ratio(both(k, "_mule"), both(k, ""), 1).alias(f"frac_{k}_mule_total") for k in ("vol", "txn")),
     )
 
 

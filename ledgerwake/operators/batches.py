@@ -15,9 +15,16 @@ from pyspark.sql import functions as F
 _MERGES = {"sum": F.sum, "max": F.max, "min": F.min, "mean": F.avg}
 
 #: How merged columns are recombined; ratios are then computed from them.
-BASIC = {"total_volume": "sum", "sum_sq_amount": "sum", "total_txns": "sum", "max_txn_amount": "max", "min_txn_amount": "min", "reversal_count": "sum", "credit_count": "sum", "debit_count": "sum", "credit_volume": "sum", "debit_volume": "sum", "n_channels": "max", "n_counterparties": "max"}
+BASIC = {
+    "total_volume": "sum", "sum_sq_amount": "sum", "total_txns": "sum", "max_txn_amount": "max", "min_txn_amount": "min",
+    "reversal_count": "sum", "credit_count": "sum", "debit_count": "sum", "credit_volume": "sum", "debit_volume": "sum",
+    "n_channels": "max", "n_counterparties": "max",
+}
 GAPS = {"iat_mean": "mean", "iat_std": "mean", "iat_median": "mean", "iat_min": "min", "burst_count_60s": "sum", "burst_count_5min": "sum"}
-BALANCES = {"balance_std": "mean", "balance_mean": "mean", "balance_min": "min", "balance_max": "max", "near_zero_balance_count": "sum", "negative_balance_count": "sum"}
+BALANCES = {
+    "balance_std": "mean", "balance_mean": "mean", "balance_min": "min", "balance_max": "max", "near_zero_balance_count": "sum",
+    "negative_balance_count": "sum",
+}
 IPS = {"n_unique_ips": "sum", "n_ip_txns": "sum"}
 
 

@@ -104,11 +104,15 @@ def f1_threshold(scored: DataFrame, points: int = 1001, low: float = 0.0, high:
     i = F.floor((F.col("score") - low) / step).cast("long")
     at = lambda k: k * step + low
     cell = F.when(at(i + 1) < F.col("score"), i + 1).when(at(i) < F.col("score"), i).otherwise(i - 1)
-    cells = scored.select(F.least(F.greatest(cell, F.lit(-1)), F.lit(points - 1)).alias("i"), "is_mule").groupBy("i").agg(F.sum("is_mule").alias("tp"), count_all().alias("n"))
+    cells = scored.select(
+        F.least(F.greatest(cell, F.lit(-1)), F.lit(points - 1)).alias("i"), "is_mule",
+    ).groupBy("i").agg(F.sum("is_mule").alias("tp"), count_all().alias("n"))
     total = scored.agg(F.sum("is_mule").alias("pos"))
     up = Window.orderBy("i").rowsBetween(0, Window.unboundedFollowing)
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    c = grid.join(cells, "i", "left").select("i", "threshold", F.sum(z("tp")).over(up).alias("tp"), F.sum(z("n")).over(up).alias("n")).crossJoin(F.broadcast(total))
+    c = grid.join(cells, "i", "left").select(
+        "i", "threshold", F.sum(z("tp")).over(up).alias("tp"), F.sum(z("n")).over(up).alias("n"),
+    ).crossJoin(F.broadcast(total))
     f1 = F.when(F.col("n") + F.col("pos") > 0, 2 * F.col("tp") / F.nullif(F.col("n") + F.col("pos"), F.lit(0))).otherwise(0.0)
     return c.withColumn("f1", F.coalesce(f1, F.lit(0.0))).orderBy(F.desc("f1"), "i").limit(1).select("threshold", "f1")
 
@@ -132,7 +136,10 @@ def displacement(scores: DataFrame, a: str, b: str) -> DataFrame:
     """One row: how far two scores' ranks are apart, and Spearman's correlation."""
     r = ranks(scores, {a: "ra", b: "rb"})
     d = F.abs(F.col("ra") - F.col("rb"))
-    return r.agg(F.avg(d).alias("mean_shift"), F.max(d).alias("max_shift"), F.count_if(d > 0.05).alias("over_5pct"), F.count_if(d > 0.10).alias("over_10pct"), F.corr("ra", "rb").alias("spearman"))
+    return r.agg(
+        F.avg(d).alias("mean_shift"), F.max(d).alias("max_shift"), F.count_if(d > 0.05).alias("over_5pct"),
+        F.count_if(d > 0.10).alias("over_10pct"), F.corr("ra", "rb").alias("spearman"),
+    )
 
 
 #: Weights of the first score that a search tries.
@@ -166,7 +173,10 @@ def submission(scores: DataFrame, windows: DataFrame) -> DataFrame:
     """account_id, is_mule (the score), suspicious_start and _end as text; empty where an account has no window."""
     text = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
     j = scores.join(windows, "account_id", "left")
-    return j.select("account_id", F.col("score").alias("is_mule"), text("suspicious_start").alias("suspicious_start"), text("suspicious_end").alias("suspicious_end"))
+    return j.select(
+        "account_id", F.col("score").alias("is_mule"), text("suspicious_start").alias("suspicious_start"),
+        text("suspicious_end").alias("suspicious_end"),
+    )
 
 
 def row_counts(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -240,7 +250,9 @@ def out_of_fold(matrix: DataFrame, columns: list[str], k: int = 5, trees: int =
 def scored_new(models: list[dict], matrix: DataFrame, columns: list[str]) -> DataFrame:
     """account_id, score: the mean of all folds' models, for rows that none of them has seen."""
     named = {f"{i}_{name}": m for i, fitted in enumerate(models) for name, m in fitted.items()}
-    return scored_by(named, assembled(written(matrix.select("account_id", *columns), "new-rows"), columns, "account_id")).select("account_id", "score")
+    return scored_by(
+        named, assembled(written(matrix.select("account_id", *columns), "new-rows"), columns, "account_id"),
+    ).select("account_id", "score")
 
 
 def importances(models: list[dict], columns: list[str], spark, top: int | None = 25) -> DataFrame:  # noqa: ANN001

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def account_master(accounts: DataFrame, linkage: DataFrame, customers: DataFrame, branches: DataFrame, targets: DataFrame, products: DataFrame | None = None, demographics: DataFrame | None = None, additional: DataFrame | None = None, as_of: str = "2025-06-30") -> DataFrame:
+def account_master(
+    accounts: DataFrame, linkage: DataFrame, customers: DataFrame, branches: DataFrame, targets: DataFrame,
+    products: DataFrame | None = None, demographics: DataFrame | None = None, additional: DataFrame | None = None,
+    as_of: str = "2025-06-30",
+) -> DataFrame:
     """A row for each target account, with its customer's, product's and branch's columns, ages in days, and whether it was ever frozen."""
     per = F.count("account_id").over(Window.partitionBy("customer_id"))
     m = accounts.join(linkage.withColumn("account_count_per_customer", per), "account_id", "left").join(customers, "customer_id", "left")
@@ -46,7 +50,8 @@ def coded(df: DataFrame, column: str) -> DataFrame:
 
 #: The names of columns that are ids, addresses and dates, and no features.
 DROPPED = (
-    "customer_id", "branch_code", "branch_pin", "customer_pin", "permanent_pin", "branch_address", "branch_pin_code", "account_opening_date", "freeze_date", "unfreeze_date",
+    "customer_id", "branch_code", "branch_pin", "customer_pin", "permanent_pin", "branch_address", "branch_pin_code",
+    "account_opening_date", "freeze_date", "unfreeze_date",
     "last_mobile_update_date", "last_kyc_date", "date_of_birth", "relationship_start_date", "address_last_update_date", "passbook_last_update_date",
 )
 #: The names of label columns that tell the label itself.
@@ -70,7 +75,9 @@ def split(matrix: DataFrame, labels: DataFrame, test_accounts: DataFrame) -> tup
     return matrix.join(labels.drop(*LEAKS), "account_id"), matrix.join(test_accounts.select("account_id"), "account_id", "left_semi")
 
 
-def numeric_columns(df: DataFrame, drop_prefixes: tuple[str, ...] = (), keep: tuple[str, ...] = ("account_id", "is_mule", "fold", "weight")) -> list[str]:
+def numeric_columns(
+    df: DataFrame, drop_prefixes: tuple[str, ...] = (), keep: tuple[str, ...] = ("account_id", "is_mule", "fold", "weight"),
+) -> list[str]:
     kinds = ("tinyint", "smallint", "int", "bigint", "float", "double")
     return [c for c, t in df.dtypes if t in kinds and c not in keep and not c.startswith(tuple(drop_prefixes) or ("\0",))]
 

@@ -62,7 +62,10 @@ def table(txns: DataFrame, labels: DataFrame, keys: list[str], alpha: float, k:
     same = [every[c].eqNullSafe(stats[c]) for c in keys]
     j = every.join(stats, [*same, every["fold"] == stats["fold"]], "left").crossJoin(F.broadcast(prior_of(labels)))
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return j.select(*(every[c] for c in keys), every["fold"], ((F.col("s_all") - z("s") + alpha * F.col("prior")) / (F.col("n_all") - z("n") + alpha)).alias("te"))
+    return j.select(
+        *(every[c] for c in keys), every["fold"],
+        ((F.col("s_all") - z("s") + alpha * F.col("prior")) / (F.col("n_all") - z("n") + alpha)).alias("te"),
+    )
 
 
 def _moments(t: DataFrame) -> tuple[Column, Column, Column]:
@@ -77,7 +80,8 @@ def account_stats(t: DataFrame, accounts: DataFrame, labels: DataFrame, tag: str
     for accounts without transactions."""
     n, mean, squares = _moments(t)
     a = t.groupBy("account_id").agg(
-        mean.alias("mean"), F.sqrt(squares / n).alias("std"), F.max("te").alias("max"), (F.sum(F.col("amount") * F.col("te")) / (F.sum("amount") + EPS)).alias("amt_weighted"),
+        mean.alias("mean"), F.sqrt(squares / n).alias("std"), F.max("te").alias("max"),
+        (F.sum(F.col("amount") * F.col("te")) / (F.sum("amount") + EPS)).alias("amt_weighted"),
         (F.coalesce(F.sum(F.when(F.col("te") >= risky, F.col("n"))), F.lit(0)) / n).alias("high_risk_ratio"),
     )
     return _with_prior(a, accounts, labels, tag)
@@ -88,7 +92,8 @@ def family(txns: DataFrame, accounts: DataFrame, labels: DataFrame, keys: list[s
     t = encoded(txns, labels, keys, alpha)
     n, mean, squares = _moments(t)
     a = t.groupBy("account_id").agg(
-        mean.alias("mean"), F.max("te").alias("max"), F.when(n > 1, F.sqrt(squares / F.greatest(n - 1, F.lit(1)))).alias("std"), ratio(F.sum(F.col("amount") * F.col("te")), F.sum("amount")).alias("amtw"),
+        mean.alias("mean"), F.max("te").alias("max"), F.when(n > 1, F.sqrt(squares / F.greatest(n - 1, F.lit(1)))).alias("std"),
+        ratio(F.sum(F.col("amount") * F.col("te")), F.sum("amount")).alias("amtw"),
     )
     return _with_prior(a, accounts, labels, tag)
 

@@ -19,7 +19,10 @@ ENCODED = {"counterparty": ["counterparty_id"], "mcc": ["mcc_code"], "channel":
 FAMILIES = {"txntype": ["txn_type"], "mcc_txn": ["mcc_code", "txn_type"], "cp_txn": ["counterparty_id", "txn_type"]}
 
 
-def feature_tables(txns: DataFrame, accounts: DataFrame, labels: DataFrame, joined: DataFrame | None = None, scores: DataFrame | None = None, recent: tuple[str, str] | None = None, opened: DataFrame | None = None) -> list[DataFrame]:
+def feature_tables(
+    txns: DataFrame, accounts: DataFrame, labels: DataFrame, joined: DataFrame | None = None, scores: DataFrame | None = None,
+    recent: tuple[str, str] | None = None, opened: DataFrame | None = None,
+) -> list[DataFrame]:
     """The feature tables of the matrix. joined are the transactions with their additional columns, scores (account_id, score) what there is
     of neighbours' risk, recent the first days of the last three and six months, opened the accounts with their opening date.
 
@@ -28,7 +31,10 @@ def feature_tables(txns: DataFrame, accounts: DataFrame, labels: DataFrame, join
     txns = written(txns, "transactions")
     days, folds = written(S.daily(txns), "daily"), E.folds(labels)
     basic = A.txn_basic(txns)
-    out = [basic, A.temporal_patterns(txns), S.gaps(txns), A.graph_degree(txns), A.graph_labels(txns, labels), S.monthly(txns), S.passthrough_hours(txns), S.concentration(txns), S.rolling_zscore(days)]
+    out = [
+        basic, A.temporal_patterns(txns), S.gaps(txns), A.graph_degree(txns), A.graph_labels(txns, labels), S.monthly(txns),
+        S.passthrough_hours(txns), S.concentration(txns), S.rolling_zscore(days),
+    ]
     out += [S.cp_entropy(txns), S.peak_day(days), S.pass_through(days), A.cp_frequency(txns, accounts)]
     out += [E.account_stats(E.encoded(txns, folds, keys, E.ALPHA[t]), accounts, folds, t) for t, keys in ENCODED.items()]
     out += [E.family(txns, accounts, folds, keys, E.ALPHA[t], t) for t, keys in FAMILIES.items()]
@@ -40,11 +46,16 @@ def feature_tables(txns: DataFrame, accounts: DataFrame, labels: DataFrame, join
         out.append(S.days_to_first(txns, opened))
     if joined is not None:
         joined = written(joined, "transactions-additional")
-        out += [A.additional_features(joined), S.turnover(basic, A.balances(joined)), A.mule_ips(joined, labels, accounts), A.sub_types(joined, accounts)]
+        out += [
+            A.additional_features(joined), S.turnover(basic, A.balances(joined)), A.mule_ips(joined, labels, accounts),
+            A.sub_types(joined, accounts),
+        ]
     return written_all({f"features-{i}": x for i, x in enumerate(out)})
 
 
-def train_and_score(matrix: DataFrame, labels: DataFrame, test_accounts: DataFrame, folds: int = 5, trees: int = 20, depth: int = 4) -> tuple[DataFrame, DataFrame]:
+def train_and_score(
+    matrix: DataFrame, labels: DataFrame, test_accounts: DataFrame, folds: int = 5, trees: int = 20, depth: int = 4,
+) -> tuple[DataFrame, DataFrame]:
     """(out-of-fold scores of labelled accounts, scores of test accounts as the mean of the folds' models)."""
     columns = M.numeric_columns(matrix)
     matrix = written(matrix, "matrix")

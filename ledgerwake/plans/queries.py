@@ -84,7 +84,10 @@ def full_master(t: Tables) -> DataFrame:
 
 @query
 def account_master(t: Tables) -> DataFrame:
-    return full_master(t).select("account_id", "customer_id", "account_count_per_customer", "branch_code", "branch_name", "branch_region", "n_products", "income_band", "account_segment", "account_age_days", "customer_age_days", "was_frozen")
+    return full_master(t).select(
+        "account_id", "customer_id", "account_count_per_customer", "branch_code", "branch_name", "branch_region", "n_products",
+        "income_band", "account_segment", "account_age_days", "customer_age_days", "was_frozen",
+    )
 
 
 @query
@@ -312,10 +315,14 @@ class Staged(Tables):
 
 #: The matrix's feature tables: those of its first version, those that the second adds, and those of the third.
 V1 = [
-    txn_basic, iat_burst, temporal_patterns, graph_degree, graph_label_exposure, txn_additional, monthly_behavior, passthrough_hours, cp_concentration, activity_span,
+    txn_basic, iat_burst, temporal_patterns, graph_degree, graph_label_exposure, txn_additional, monthly_behavior,
+    passthrough_hours, cp_concentration, activity_span,
     oof_te_counterparty, oof_te_mcc, oof_te_channel, oof_te_pair, neighbor_risk,
 ]
-V2 = [rolling_7d_zscore, cp_entropy, days_to_first_txn, turnover_ratio, peak_day_conc, pass_through_v2, cp_frequency, mule_ip_exposure, txn_subtypes, te_family_txntype, te_family_mcc_txn, te_family_cp_txn]
+V2 = [
+    rolling_7d_zscore, cp_entropy, days_to_first_txn, turnover_ratio, peak_day_conc, pass_through_v2, cp_frequency,
+    mule_ip_exposure, txn_subtypes, te_family_txntype, te_family_mcc_txn, te_family_cp_txn,
+]
 V3 = [recency]
 
 
@@ -484,17 +491,25 @@ def csv_round_trip(t: Tables) -> DataFrame:
 
 @query
 def limited_scan(t: Tables) -> DataFrame:
-    return read_parquet(t.spark, f"{t.path}/events.parquet", columns=["event_id"], rows=25, with_part=True).agg(F.count("part").alias("n"), F.countDistinct("event_id").alias("events"))
+    return read_parquet(
+        t.spark, f"{t.path}/events.parquet", columns=["event_id"], rows=25, with_part=True,
+    ).agg(F.count("part").alias("n"), F.countDistinct("event_id").alias("events"))
 
 
 @query
 def stored_artefacts(t: Tables) -> DataFrame:
     """Scores, importances, threshold and parameters of a run, stored and read again: the rows of each, and the threshold."""
     path, spark = shared_path(t.spark, "artefacts"), t.spark
-    P.artefacts(scored(t), spark.createDataFrame([("total_volume", 0.5)], "feature string, importance double"), path, {"trees": str(TREES), "depth": str(DEPTH)})
+    P.artefacts(
+        scored(t), spark.createDataFrame([("total_volume", 0.5)], "feature string, importance double"), path,
+        {"trees": str(TREES), "depth": str(DEPTH)},
+    )
     read = lambda name: read_parquet(spark, f"{path}/{name}")
     rows = [read(n).agg(F.lit(n).alias("artefact"), F.count(F.lit(1)).alias("rows"), F.lit(0.0).alias("value")) for n in ("scores", "importances", "parameters")]
-    return reduce(DataFrame.unionByName, [*rows, read("threshold").select(F.lit("threshold").alias("artefact"), F.lit(1).cast("bigint").alias("rows"), F.col("threshold").alias("value"))])
+    return reduce(
+        DataFrame.unionByName,
+        [*rows, read("threshold").select(F.lit("threshold").alias("artefact"), F.lit(1).cast("bigint").alias("rows"), F.col("threshold").alias("value"))],
+    )
 
 
 #: The size of the models that queries train.

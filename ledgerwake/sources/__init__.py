@@ -32,7 +32,10 @@ def checked(df: DataFrame, table: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast(t) for c, t in want.items()})
 
 
-def read_parquet(spark: SparkSession, path: str, table: str | None = None, columns: list[str] | None = None, rows: int | None = None, with_part: bool = False) -> DataFrame:
+def read_parquet(
+    spark: SparkSession, path: str, table: str | None = None, columns: list[str] | None = None, rows: int | None = None,
+    with_part: bool = False,
+) -> DataFrame:
     """A file, a folder of part files, or a glob. with_part adds the part file's name, for whoever needs batches."""
     df = spark.read.parquet(path)
     if with_part:
@@ -81,7 +84,12 @@ class Tables:
         j = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"])
         cp = F.when(F.col("l_linenumber") == 7, F.lit(None)).when(F.col("l_partkey") % 2 == 0, account("l_partkey")).otherwise(F.concat(F.lit("EXT_"), F.col("l_suppkey").cast("string")))
         price = F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))
-        return j.select(account("o_custkey").alias("account_id"), cp.alias("counterparty_id"), price.alias("amount"), F.when(F.col("l_linestatus") == "O", "C").otherwise("D").alias("txn_type"), F.col("o_orderpriority").alias("channel"), F.col("p_brand").alias("mcc_code"), F.col("l_shipdate").alias("ts"), (F.col("l_quantity") * 100).alias("round_amount"))
+        return j.select(
+            account("o_custkey").alias("account_id"), cp.alias("counterparty_id"), price.alias("amount"),
+            F.when(F.col("l_linestatus") == "O", "C").otherwise("D").alias("txn_type"), F.col("o_orderpriority").alias("channel"),
+            F.col("p_brand").alias("mcc_code"), F.col("l_shipdate").alias("ts"),
+            (F.col("l_quantity") * 100).alias("round_amount"),
+        )
 
     def txn_b(self) -> DataFrame:
         """Transactions within a month, to the microsecond: events. scaled_amount reaches the bands of round and structured amounts."""
@@ -89,16 +97,21 @@ class Tables:
         sign = F.when(F.col("event_type") == "error", -1.0).otherwise(1.0)
         kind = F.when(F.col("event_type").isin("purchase", "signup"), "C").when(F.col("event_type").isin("view", "click"), "D")
         return self.raw("events").select(
-            F.col("event_id").alias("transaction_id"), account("user_id").alias("account_id"), F.when(k != 0, account(k)).alias("counterparty_id"), (F.col("value") * sign).alias("amount"),
-            kind.alias("txn_type"), F.col("event_type").alias("channel"), (k % 10).alias("mcc_code"), "ts", (F.floor("value") * 100 * sign).alias("scaled_amount"),
+            F.col("event_id").alias("transaction_id"), account("user_id").alias("account_id"),
+            F.when(k != 0, account(k)).alias("counterparty_id"), (F.col("value") * sign).alias("amount"),
+            kind.alias("txn_type"), F.col("event_type").alias("channel"), (k % 10).alias("mcc_code"), "ts",
+            (F.floor("value") * 100 * sign).alias("scaled_amount"),
         )
 
     def add_b(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("int")
         return self.raw("events").select(
-            F.col("event_id").alias("transaction_id"), F.when(k % 7 != 0, F.col("value") * 10 - 200).alias("balance_after_transaction"), F.when(k % 11 != 0, F.concat(F.lit("ip_"), k.cast("string"))).alias("ip_address"),
+            F.col("event_id").alias("transaction_id"),
+            F.when(k % 7 != 0, F.col("value") * 10 - 200).alias("balance_after_transaction"),
+            F.when(k % 11 != 0, F.concat(F.lit("ip_"), k.cast("string"))).alias("ip_address"),
             F.when(k % 10 != 0, (k - 50).cast("double")).alias("latitude"), F.when(k % 10 != 0, (2 * k - 100).cast("double")).alias("longitude"),
-            F.when(F.col("event_type") == "error", "special").otherwise("normal").alias("transaction_sub_type"), F.col("event_type").alias("part_transaction_type"),
+            F.when(F.col("event_type") == "error", "special").otherwise("normal").alias("transaction_sub_type"),
+            F.col("event_type").alias("part_transaction_type"),
         )
 
     def labels(self) -> DataFrame:
@@ -112,7 +125,8 @@ class Tables:
         first = self.raw("orders").groupBy("o_custkey").agg(F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("account_opening_date"))
         c = self.raw("customer")
         return c.join(first, c["c_custkey"] == first["o_custkey"], "left").select(
-            account("c_custkey").alias("account_id"), F.col("c_nationkey").alias("branch_code"), "account_opening_date", F.when(F.col("c_acctbal") < -500, F.lit("2001-01-01")).alias("freeze_date"),
+            account("c_custkey").alias("account_id"), F.col("c_nationkey").alias("branch_code"), "account_opening_date",
+            F.when(F.col("c_acctbal") < -500, F.lit("2001-01-01")).alias("freeze_date"),
             F.when(F.col("c_acctbal") > 5000, "Y").otherwise("N").alias("kyc_flag"), F.col("c_mktsegment").alias("segment"),
         )
 
@@ -121,18 +135,29 @@ class Tables:
 
     def customers(self) -> DataFrame:
         c = self.raw("customer").select(F.floor(F.col("c_custkey") / 2).alias("customer_id")).distinct()
-        return c.withColumn("date_of_birth", F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), (F.col("customer_id") % 15000).cast("int")), "yyyy-MM-dd"))
+        return c.withColumn(
+            "date_of_birth",
+            F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), (F.col("customer_id") % 15000).cast("int")), "yyyy-MM-dd"),
+        )
 
     def products(self) -> DataFrame:
         return self.customers().select("customer_id", (F.col("customer_id") % 3).cast("int").alias("n_products"))
 
     def demographics(self) -> DataFrame:
-        return self.customers().select("customer_id", F.concat(F.lit("name "), F.col("customer_id").cast("string")).alias("name"), (F.col("customer_id") % 7).cast("int").alias("income_band"))
+        return self.customers().select(
+            "customer_id", F.concat(F.lit("name "), F.col("customer_id").cast("string")).alias("name"),
+            (F.col("customer_id") % 7).cast("int").alias("income_band"),
+        )
 
     def branches(self) -> DataFrame:
         n, r = self.raw("nation"), self.raw("region")
-        return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").alias("branch_code"), F.col("n_name").alias("branch_name"), F.col("r_name").alias("branch_region"))
+        return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(
+            F.col("n_nationkey").alias("branch_code"), F.col("n_name").alias("branch_name"),
+            F.col("r_name").alias("branch_region"),
+        )
 
     def scores(self) -> DataFrame:
         k = F.col("c_custkey")
-        return self.raw("customer").select(account("c_custkey").alias("account_id"), ((k * 37 % 101) / 100.0).alias("s1"), ((k * 53 % 97) / 96.0).alias("s2"))
+        return self.raw("customer").select(
+            account("c_custkey").alias("account_id"), ((k * 37 % 101) / 100.0).alias("s1"), ((k * 53 % 97) / 96.0).alias("s2"),
+        )

@@ -15,7 +15,10 @@ def test_from_tables_to_a_submission(spark, small, tmp_path):
     assert len(tables) == 27 and all(x.count() == x.select("account_id").distinct().count() for x in tables)
     matrix = written(M.interactions(M.feature_matrix(t.accounts(), tables)), "matrix")
     assert matrix.count() == accounts.count() and len(matrix.columns) > 120
-    oof, new = P.train_and_score(matrix.select("account_id", "kyc_flag", "total_volume", "in_degree", "pass_through_ratio", "burst_count_5min"), t.labels(), t.test_accounts(), 2, 2, 2)
+    oof, new = P.train_and_score(
+        matrix.select("account_id", "kyc_flag", "total_volume", "in_degree", "pass_through_ratio", "burst_count_5min"),
+        t.labels(), t.test_accounts(), 2, 2, 2,
+    )
     oof, new = written(oof, "oof"), written(new, "new")
     assert oof.count() == t.labels().count() and new.count() == t.test_accounts().count()
     every = oof.select("account_id", "score").unionByName(new)

@@ -138,7 +138,10 @@ def labelled(spark):
 
 
 def test_encoding_takes_the_own_fold_off(spark, labelled):
-    t = spark.createDataFrame([("a", "k", 1.0), ("b", "k", 1.0), ("t", "k", 1.0), ("a", None, 1.0), ("t", "new", 1.0), ("c", "only", 2.0)], "account_id string, key string, amount double")
+    t = spark.createDataFrame(
+        [("a", "k", 1.0), ("b", "k", 1.0), ("t", "k", 1.0), ("a", None, 1.0), ("t", "new", 1.0), ("c", "only", 2.0)],
+        "account_id string, key string, amount double",
+    )
     got = {(r["account_id"], r["key"]): r["te"] for r in E.encoded(t, labelled, ["key"], 2.0).collect()}
     p = 1 / 3
     assert got["a", "k"] == pytest.approx((0 + 2 * p) / (1 + 2))
@@ -193,7 +196,10 @@ def test_f1_grid_like_a_loop(spark):
 def test_percentiles_like_sorting(spark):
     rng = random.Random(6)
     values = sorted(round(rng.random() ** 3, 2) for _ in range(777))
-    got = D.percentiles(spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(5), "v", {"a": 0.0, "b": 0.1, "c": 0.972, "d": 1.0}).first()
+    got = D.percentiles(
+        spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(5), "v",
+        {"a": 0.0, "b": 0.1, "c": 0.972, "d": 1.0},
+    ).first()
     for name, share in (("a", 0.0), ("b", 0.1), ("c", 0.972), ("d", 1.0)):
         at = share * 776
         lo, hi = values[math.floor(at)], values[math.ceil(at)]
@@ -227,7 +233,10 @@ def test_clean_number(spark):
 
 def test_submission_has_empty_text_without_window(spark):
     s = spark.createDataFrame([("a", 0.9), ("b", 0.1)], "account_id string, score double")
-    w = spark.createDataFrame([("a", at("2024-01-01 00:00:00"), at("2024-01-02 00:00:01"))], "account_id string, suspicious_start timestamp_ntz, suspicious_end timestamp_ntz")
+    w = spark.createDataFrame(
+        [("a", at("2024-01-01 00:00:00"), at("2024-01-02 00:00:01"))],
+        "account_id string, suspicious_start timestamp_ntz, suspicious_end timestamp_ntz",
+    )
     r = {x["account_id"]: x for x in D.submission(s, w).collect()}
     assert r["a"]["suspicious_end"] == "2024-01-02 00:00:01" and r["b"]["suspicious_start"] == ""
     D.same_length(s, s)
