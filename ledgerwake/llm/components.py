@@ -29,8 +29,9 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def _state(links: DataFrame) -> tuple:
-    r = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s")).first()
-    return r["n"], r["s"]
+    """What tells a set of links from another: their number, and the sum and the exclusive or of 64-bit hashes of them."""
+    h = F.xxhash64("u", "v")
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(20,0)")), F.bit_xor(h)).first())
 
 
 def components(pairs: DataFrame, most_steps: int = 100) -> DataFrame:
