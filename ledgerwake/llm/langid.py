@@ -106,7 +106,8 @@ def sampled(own: DataFrame, sample: int) -> DataFrame:
     """lang, text: of the different texts of each language as many as its even share of the sample, the least by a hash."""
     key = F.xxhash64("text").alias("key")
     texts = written(own.select("lang", key).distinct(), "language-texts")
-    counts = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # written, so that its size is known when the join is planned and the texts need not go by language
+    counts = written(texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-counts")
     most = max(20, sample // max(1, counts.count()))
     # twice as many as needed at first, so that no task ranks all of a language's texts
     few = texts.join(counts, "lang").where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.least(F.lit(1.0), 2.0 * most / F.col("n")) * (1 << 30))
