@@ -552,7 +552,7 @@ def importance_pruning(t: Tables) -> DataFrame:
 
 @query
 def pseudo_label_scores(t: Tables) -> DataFrame:
-    return P.retrained(matrix(t, V1), t.labels(), t.test_accounts(), 3, TREES, DEPTH)
+    return P.retrained(matrix(t, [*V1, pass_through_v2]), t.labels(), t.test_accounts(), 3, TREES, DEPTH)
 
 
 def queries() -> dict[str, Query]:
