@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import written, written_all
+
 
 def account_master(
     accounts: DataFrame, linkage: DataFrame, customers: DataFrame, branches: DataFrame, targets: DataFrame,
@@ -58,12 +62,31 @@ DROPPED = (
 LEAKS = ("mule_flag_date", "alert_reason", "flagged_by_branch")
 
 
+#: Tables that one plan joins by account. Each is sorted in the same task, a sort holds a page of memory, and the pages that a task can count on are 8.
+JOINED = 6
+
+
+def with_features(m: DataFrame, features: list[DataFrame]) -> DataFrame:
+    """m with the columns of all feature tables, joined on account_id; of columns with one name the first stays.
+
+    More than JOINED tables are first joined in groups, a written table each, and what all of them make is written too.
+    """
+    seen, own = set(m.columns), []
+    for f in features:
+        own.append(f.drop(*(c for c in f.columns if c in seen and c != "account_id")))
+        seen |= set(f.columns)
+    left = lambda a, b: a.join(b, "account_id", "left")
+    grouped = len(own) > JOINED
+    while len(own) > JOINED:
+        ids = m.select("account_id").distinct()
+        own = written_all({f"joined-{i}": reduce(left, own[i : i + JOINED], ids) for i in range(0, len(own), JOINED)})
+    m = reduce(left, own, m)
+    return written(m, "joined") if grouped else m
+
+
 def feature_matrix(master: DataFrame, features: list[DataFrame], encode: bool = True) -> DataFrame:
     """Feature tables joined to the master on account_id; ids, dates and leaks dropped; strings as numbers."""
-    m = master
-    for f in features:
-        m = m.join(f.drop(*(c for c in f.columns if c in m.columns and c != "account_id")), "account_id", "left")
-    m = m.drop(*DROPPED, *LEAKS)
+    m = with_features(master, features).drop(*DROPPED, *LEAKS)
     if encode:
         m = yes_no_encoded(m, yes_no_columns(m))
         for c in string_columns(m, ("account_id",)):

@@ -257,3 +257,27 @@ def test_training_and_gate(spark):
     assert new.count() == 40 and new.where("score < 0 or score > 1").count() == 0
     assert D.importances(models, ["x", "y", "z"], spark).first()["feature"] == "x"
     assert D.sampled(m, "account_id", 10).collect() == D.sampled(m, "account_id", 10).collect()
+
+
+def sorts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_no_task_sorts_all_feature_tables(spark, no_broadcast):
+    master = spark.createDataFrame([("a", "Y"), ("b", "N"), ("b", "N"), (None, "Y")], "account_id string, kyc_flag string")
+    tables = [spark.createDataFrame([("a", i, -i), ("c", 9, 9)], f"account_id string, x{i} int, same int") for i in range(28)]
+    tables[20] = tables[20].unionByName(tables[20])
+    got = M.feature_matrix(master, tables)
+    assert sorts(got) <= M.JOINED
+    assert got.columns == ["account_id", "kyc_flag", "x0", "same", *(f"x{i}" for i in range(1, 28))]
+    none = (None,) * 29
+    want = [("a", 1, 0, 0, *range(1, 28))] * 2 + [("b", 0, *none)] * 2 + [(None, 1, *none)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
