@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,3 +282,28 @@ def test_no_task_sorts_all_feature_tables(spark, no_broadcast):
     none = (None,) * 29
     want = [("a", 1, 0, 0, *range(1, 28))] * 2 + [("b", 0, *none)] * 2 + [(None, 1, *none)]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_training_sees_a_matrix_that_was_joined_in_groups(spark, small, no_broadcast, monkeypatch):
+    from ledgerwake.plans import queries as Q
+
+    feature = lambda i: lambda t: t.labels().select("account_id", *(F.lit(float(i)).alias(c) for c in COLUMNS_OF.get(i, [f"x{i}"])))
+    COLUMNS_OF = {0: ["pass_through_ratio", "burst_count_5min", "in_degree", "rolling_7d_zscore_max", "total_txns"]}
+    features = [feature(i) for i in range(27)]
+    for i, f in enumerate(features):
+        f.__name__ = f"feature_{i}"
+    seen = []
+    monkeypatch.setattr(Q, "V1", features[:15])
+    monkeypatch.setattr(Q, "V2", features[15:])
+
+    class Model:
+        class featureImportances:  # noqa: N801
+            toArray = staticmethod(lambda: np.ones(seen[0][1]) / seen[0][1])  # noqa: N815
+
+    monkeypatch.setattr(D, "out_of_fold", lambda m, columns, **_: seen.append((sorts(m), len(columns))) or (m, [{"gbt": Model}]))
+    Q._trained.cache_clear()
+    try:
+        pruned = Q.queries()["importance_pruning"](spark, small).collect()
+    finally:
+        Q._trained.cache_clear()
+    assert len(seen) == 1 and seen[0][0] <= M.JOINED and len(pruned) == seen[0][1] > 30
