@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerwake.llm import kernels as K
 from ledgerwake.llm import langid, quality
 from ledgerwake.llm.queries import queries
 from ledgerwake.llm.tables import read
@@ -152,3 +154,32 @@ def test_decoding_corrects_a_wrong_bit():
     best, score, close = m.decode(x)
     assert best.tolist() == [0, 1, 2, 3] and not close.any() and (score > 0.5).all()
     assert m.decode(np.zeros((1, c.shape[1])))[2].all()
+
+
+def test_all_labelled_documents_are_learned_from(spark):
+    words = ["plain words of a text", "JUNK!!! $$$ 123", "buy; now: <b>", "some other words, and more"]
+    rows = [(i, " ".join(words[(i * 7 + k * k) % 4] for k in range(1 + i % 5)), int((i * 13) % 7 > 1)) for i in range(400)]
+    rows = [(i, t + (" rare [mark]" * 3 if not good else ""), good) for i, t, good in rows]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([r[::2] for r in rows], "doc_id long, quality int")
+    # the same from whatever sample the steps begin, and the loss of all pairs by plain arithmetic
+    models = [quality.train(docs, labels, F.lit(True), n) for n in (20, 60)]
+    x = quality.features(*K.of_texts([r[1] for r in rows])).astype(np.float64)
+    good = np.array([r[2] for r in rows], bool)
+
+    def loss(m):
+        s, scale = x @ m.weights, x.std(0)
+        w = np.where(scale > 1e-4, m.weights * scale, 0)
+        return np.logaddexp(0, s[~good][None] - s[good][:, None]).mean() + 1e-4 / 2 * w @ w
+
+    on_sample = []
+    refined = quality.refined
+    try:
+        quality.refined = lambda table, model: on_sample.append(model) or refined(table, model)
+        quality.train(docs, labels, F.lit(True), 20)
+    finally:
+        quality.refined = refined
+    assert loss(models[0]) < loss(on_sample[0]) and loss(models[0]) == pytest.approx(loss(models[1]), rel=0.1, abs=1e-3)
+    for m in models:
+        s = np.sort(x @ m.weights)
+        low, high = s[(~good).sum() - 1], s[(~good).sum()]
+        assert m.threshold == pytest.approx((low + high) / 2)
