@@ -307,3 +307,13 @@ def test_training_sees_a_matrix_that_was_joined_in_groups(spark, small, no_broad
     finally:
         Q._trained.cache_clear()
     assert len(seen) == 1 and seen[0][0] <= M.JOINED and len(pruned) == seen[0][1] > 30
+
+
+def test_rows_without_a_counterparty_are_not_joined(spark):
+    rows = [("a", "x"), ("a", "x"), ("a", None), ("b", "x"), ("b", "y"), ("c", None)]
+    accounts = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "account_id string")
+    got = A.cp_frequency(spark.createDataFrame(rows, "account_id string, counterparty_id string"), accounts)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("isnotnull(counterparty_id") == 2  # both sides
+    zero = (0.0, 0, 0, 0.0, 0)
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == {"a": (2.0, 2, 2, 0.0, 0), "b": (1.5, 2, 1, pytest.approx(0.5**0.5), 1), "c": zero, "d": zero}
